@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumentrail.llm import words as W
 from lumentrail.llm.components import components
-from lumentrail.llm.shared import checkpoint
+from lumentrail.llm.shared import checkpoint, maybe_broadcast
 
 GENERATOR, N, CHECKS, RADIUS = 0b101011100011, 23, 11, 3
 
@@ -56,15 +56,17 @@ def fingerprints_of(data: np.ndarray, off: np.ndarray, shingle: int = 3, seed: i
     return out
 
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed 64-bit integer."""
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, also: list[str] | None = None) -> DataFrame:
+    """``(doc_id, fp)`` with the fingerprint as a signed 64-bit integer, and after them any columns ``also`` (long)."""
+    also = also or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = fingerprints_of(*W.utf8(b.column(1)), shingle=shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *also])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also)
+    return src.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in also)]))
 
 
 @cache
@@ -136,6 +138,13 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return home.join(near, "anchor").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold)).select("u", "v")
 
 
+def _grouped(fps: DataFrame, threshold: int) -> DataFrame:
+    """``(fp, root)`` of each different fingerprint; the root is the least fingerprint reachable."""
+    classes = checkpoint(fps.select("fp").distinct())
+    roots = components(links(classes, threshold)).withColumnRenamed("node", "fp")
+    return checkpoint(classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -148,9 +157,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the component has no other (then null). An empty table gives an empty result.
     """
     fps = checkpoint(fingerprint(docs, id_col, text_col, shingle))
-    classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes.select("fp"), threshold)).withColumnRenamed("node", "fp")
-    rooted = checkpoint(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = _grouped(fps, threshold)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = least.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(named, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one is left from each component: that of the least doc_id.
+
+    Null ids come last, and of rows that share an id that with the least hash of its text is left. Of rows
+    equal in both one stays. What goes is joined, and broadcast while it is small, so that texts don't move.
+    """
+    keyed = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__th"), F.col(text_col).cast("string").alias("text"))
+    fps = checkpoint(fingerprint(keyed, "__id", "text", shingle, ["__th"]).withColumnRenamed("doc_id", "__id"))
+    rooted = _grouped(fps, threshold)
+    # one row per different document; the first of a component is found in steps of combining aggregations
+    rows = checkpoint(fps.groupBy("fp", "__id", "__th").agg(F.count("*").alias("n")).join(rooted, "fp"))
+    id_of = rows.groupBy("root").agg(F.min("__id").alias("id0"))
+    first = rows.join(id_of, "root").where(F.col("__id").eqNullSafe(F.col("id0"))).groupBy("root", "id0").agg(F.min("__th").alias("th0"))
+    marked = checkpoint(rows.join(first, "root").select("__id", "__th", "n", (F.col("__id").eqNullSafe(F.col("id0")) & (F.col("__th") == F.col("th0"))).alias("stays")))
+    gone = marked.where("not stays").select(F.col("__id").alias("__gid"), F.col("__th").alias("__gth"))
+    key, th = F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__th")
+    left = docs.select("*", key, th).join(maybe_broadcast(gone, 16 * gone.count()), (F.col("__th") == F.col("__gth")) & F.col("__id").eqNullSafe(F.col("__gid")), "left_anti")
+    if not marked.where("stays and n > 1").isEmpty():
+        left = left.dropDuplicates(["__id", "__th"])
+    return left.select(*docs.columns)
