@@ -2,9 +2,9 @@
 
 Texts are sequences of words. Every run of ``NOISE`` words is hashed, and of each ``WINDOW``
 consecutive hashes the least is kept as a fingerprint: two texts that share ``NOISE + WINDOW - 1``
-words anywhere share a fingerprint (Schleimer, Wilkerson, Aiken 2003). Fingerprints are joined on
-their first occurrence in (doc_id, position) order, occurrences on one diagonal make a run, both ends of
-a run are extended word by word as far as the texts agree, and the later run is deleted.
+words anywhere share a fingerprint (Schleimer, Wilkerson, Aiken 2003). Fingerprints are joined with
+their first occurrence in (doc_id, position) order, those close together make a run, both ends of a run
+are extended word by word as far as the texts agree, and the later run is deleted.
 
 The unit is the word and not the physical line: passages begin and end inside lines, and a line that
 holds a copied passage rarely equals another line as a whole, so hashes of whole lines miss most of them.
@@ -95,50 +95,65 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(*_key(docs, id_col, text_col)).mapInArrow(run, "h long, id long, th long, pos int")
 
 
-def _runs(prints: DataFrame, noise: int) -> DataFrame:
-    """``(id, th, start, end, id0, th0, start0)``: repeated runs before extension, with their first occurrence.
+def _edges(prints: DataFrame, noise: int) -> DataFrame:
+    """``(id, th, run, left, at, id0, th0, at0)``: both ends of each repeated run, before extension.
 
-    Each fingerprint is counted and given its least document by a combining aggregation; only repeated ones
-    go on.
+    A run is a stretch of a document that is covered by repeated fingerprints other than their first
+    occurrences; ``at`` is the number of its first word, or of the word after it, and ``at0`` the same place
+    at the first occurrence of the fingerprint at that end. Each fingerprint is counted and given its least
+    document by a combining aggregation; only repeated ones go on.
     """
     seen = prints.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id0")).where("n > 1").drop("n")
     some = checkpoint(prints.join(seen, "h"))
     # of documents with the same id, the one with the least text hash; in it, the least position
     head = some.where("id = id0").groupBy("h").agg(F.min("th").alias("th0"))
     head = some.where("id = id0").join(head, "h").where("th = th0").groupBy("h", "th0").agg(F.min("pos").alias("pos0"))
-    later = some.join(head, "h").where("id <> id0 or th <> th0 or pos <> pos0")
-    later = later.select("id", "th", "pos", "id0", "th0", "pos0", (F.col("pos") - F.col("pos0")).alias("diagonal")).distinct()
-    line = Window.partitionBy("id", "th", "id0", "th0", "diagonal").orderBy("pos")
-    later = later.withColumn("new", (F.col("pos") - F.lag("pos").over(line) > noise).cast("int"))
-    later = later.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(line))
-    return later.groupBy("id", "th", "id0", "th0", "diagonal", "island").agg(F.min("pos").alias("start"), (F.max("pos") + noise).alias("end"), F.min("pos0").alias("start0")).drop("diagonal", "island")
+    later = some.join(head, "h").where("id <> id0 or th <> th0 or pos <> pos0").drop("h")
+    line = Window.partitionBy("id", "th").orderBy("pos", "id0", "pos0")
+    later = later.withColumn("left", F.coalesce(F.col("pos") - F.lag("pos").over(line) > noise, F.lit(True))).withColumn("right", F.coalesce(F.lead("pos").over(line) - F.col("pos") > noise, F.lit(True)))
+    later = later.withColumn("run", F.sum(F.col("left").cast("int")).over(line)).where("left or right")
+    ends = F.array(F.when(F.col("left"), F.struct(F.lit(True).alias("left"), F.col("pos").alias("at"), F.col("pos0").alias("at0"))), F.when(F.col("right"), F.struct(F.lit(False).alias("left"), (F.col("pos") + noise).alias("at"), (F.col("pos0") + noise).alias("at0"))))
+    return later.select("id", "th", "run", "id0", "th0", F.explode(ends).alias("e")).where("e is not null").select("id", "th", "run", "e.left", "e.at", "id0", "th0", "e.at0")
 
 
-def _context(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, rows: int, window: int) -> DataFrame:
-    """For first occurrences ``wanted(id0, th0, start0, end0)``: hashes of the words before and after them.
+def _context(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size: int, window: int) -> DataFrame:
+    """For the places ``wanted(id, th, at)``: hashes of the ``window`` words before and after them.
 
-    ``before`` is nearest first; words past either end of the text are missing. ``rows`` bounds the broadcast.
+    ``before`` is nearest first; words past either end of the text are missing. ``size`` bounds the broadcast.
     """
-    by = checkpoint(wanted.groupBy("id0", "th0").agg(F.collect_set(F.struct("start0", "end0")).alias("spots")))
+    by = checkpoint(wanted.groupBy("id", "th").agg(F.collect_set("at").alias("spots")))
     src = docs.select(*_key(docs, id_col, text_col))
-    both = src.join(maybe_broadcast(by, rows), (F.col("__th") == F.col("th0")) & (F.col("__id") == F.col("id0"))).select("__id", "__th", "__text", "spots")
+    both = src.join(maybe_broadcast(by, size), (F.col("__th") == F.col("th")) & (F.col("__id") == F.col("id"))).select("__id", "__th", "__text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, th, spots = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for i, j, data, off in W.blocks(*W.utf8(b.column(2))):
                 starts, ends, first = W.spans(data, off)
                 h = W.word_hashes(data, starts, ends).astype(np.uint32).view(np.int32)
                 for r in range(i, j):
                     own = h[first[r - i] : first[r - i + 1]]
-                    for spot in spots[r].as_py():
-                        s, e = spot["start0"], spot["end0"]
-                        for x, v in zip(out, (ids[r], th[r], s, e, own[max(0, s - window) : s][::-1].tolist(), own[e : e + window].tolist()), strict=True):
+                    for at in spots[r].as_py():
+                        for x, v in zip(out, (ids[r], th[r], at, own[max(0, at - window) : at][::-1].tolist(), own[at : at + window].tolist()), strict=True):
                             x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["id0", "th0", "start0", "end0", "before", "after"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["id", "th", "at", "before", "after"])
 
-    return both.mapInArrow(run, "id0 long, th0 long, start0 int, end0 int, before array<int>, after array<int>").dropDuplicates(["id0", "th0", "start0", "end0"])
+    return both.mapInArrow(run, "id long, th long, at int, before array<int>, after array<int>").dropDuplicates(["id", "th", "at"])
+
+
+def _agree(a: str, b: str) -> Column:
+    """In how many elements from the first on two arrays agree."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differ == 0, F.size(a)).otherwise(differ - 1).cast("int")
+
+
+def _extended(edges: DataFrame, around: DataFrame) -> DataFrame:
+    """``(id, th, start, end)``: the runs, extended as far as the words around them and their first occurrence agree."""
+    first = around.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("at").alias("at0"), F.col("before").alias("before0"), F.col("after").alias("after0"))
+    both = edges.join(around, ["id", "th", "at"]).join(first, ["id0", "th0", "at0"])
+    return both.groupBy("id", "th", "run").agg(F.min(F.when(F.col("left"), F.col("at") - _agree("before", "before0"))).alias("start"), F.max(F.when(~F.col("left"), F.col("at") + _agree("after", "after0"))).alias("end"))
 
 
 def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
@@ -166,24 +181,22 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows and columns of ``docs`` with later repeats of a passage deleted from the text.
 
     Of any passage of ``noise + window - 1`` words or more that occurs several times, across documents or
-    within one, only the first occurrence in (doc_id, position) order stays; a document without such a
-    repeat keeps its text byte for byte. With ``removed_col`` the number of deleted words is added.
+    within one, only the first occurrence in (doc_id, position) order stays; no repeat of fewer than ``noise``
+    words is touched, and a document without a repeat keeps its text byte for byte. Up to ``window - 1`` words
+    at either end of a passage go if they agree with where the fingerprint at that end first occurred. With ``removed_col`` the number of deleted words is added.
     Null texts stay null, a document that is a repeat as a whole keeps its row with an empty text. Null
     ids come first in the order. Rows equal in id and text count as one document and are treated alike.
     """
     prints_at = scratch(docs.sparkSession, "prints")
     fingerprints(docs, id_col, text_col, noise, window).write.parquet(prints_at)
-    runs = checkpoint(_runs(docs.sparkSession.read.parquet(prints_at), noise))
-    rows = runs.count()
-    runs = runs.withColumn("end0", (F.col("start0") + F.col("end") - F.col("start")).cast("int"))
-    around = _context(docs, id_col, text_col, runs.select("id0", "th0", "start0", "end0"), rows, window)
-    a, b = runs.alias("a"), around.alias("b")
-    full = a.join(b, (F.col("a.th0") == F.col("b.th0")) & (F.col("a.start0") == F.col("b.start0")) & (F.col("a.end0") == F.col("b.end0")) & (F.col("a.id0") == F.col("b.id0")))
-    # a run that overlaps its own first occurrence (a text that cycles) is cut as it is, by whole periods
-    full = full.select("id", "th", F.struct("start", "end", "before", "after").alias("run"))
-    by = checkpoint(full.groupBy("id", "th").agg(F.collect_list("run").alias("__runs")).withColumnRenamed("id", "__rid").withColumnRenamed("th", "__rth"))
+    edges = checkpoint(_edges(docs.sparkSession.read.parquet(prints_at), noise))
+    size = 16 * edges.count()
+    places = edges.select("id", "th", "at").union(edges.select("id0", "th0", "at0"))
+    around = checkpoint(_context(docs, id_col, text_col, places, size, window))
+    by = _extended(edges, around).groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("__runs"))
+    by = checkpoint(by.withColumnRenamed("id", "__rid").withColumnRenamed("th", "__rth"))
     key, th, _ = _key(docs, id_col, text_col)
-    both = docs.select("*", key, th).join(maybe_broadcast(by, rows), (F.col("__th") == F.col("__rth")) & (F.col("__id") == F.col("__rid")), "left").select(*docs.columns, "__runs")
+    both = docs.select("*", key, th).join(maybe_broadcast(by, size), (F.col("__th") == F.col("__rth")) & (F.col("__id") == F.col("__rid")), "left").select(*docs.columns, "__runs")
     at, removed = docs.columns.index(text_col), removed_col is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,19 +210,9 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts = col.to_pylist()
                 for i, _, data, off in W.blocks(*W.utf8(col.take(pa.array(rows))), limit=1):
                     starts, ends, _ = W.spans(data, off)
-                    h = W.word_hashes(data, starts, ends).astype(np.uint32).view(np.int32)
-                    gone = np.zeros(len(h), bool)
+                    gone = np.zeros(len(starts), bool)
                     for r in marked[int(rows[i])].as_py():
-                        s, e = r["start"], r["end"]
-                        for x in r["before"]:
-                            if s == 0 or h[s - 1] != x:
-                                break
-                            s -= 1
-                        for x in r["after"]:
-                            if e == len(h) or h[e] != x:
-                                break
-                            e += 1
-                        gone[s:e] = True
+                        gone[r["start"] : r["end"]] = True
                     counts[rows[i]] = int(gone.sum())
                     texts[rows[i]] = _cut(data, starts, ends, gone).decode("utf-8", "replace")
                 columns[at] = pa.array(texts, col.type)

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has at most so many rows; beyond that the same join shuffles.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it has at most so many bytes; beyond that the same join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,6 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return os.path.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df``, of ``rows`` rows, if that is within the bound; otherwise leave it to shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+def maybe_broadcast(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast ``df``, of ``size`` bytes by count, if that is within the bound; otherwise leave it to shuffle."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
