@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lumentrail.llm import words as W
-from lumentrail.llm.shared import checkpoint, maybe_broadcast, scratch
+from lumentrail.llm.shared import checkpoint, maybe_broadcast, scratch, shielded
 
 #: No repeated run below NOISE words is touched; every one of NOISE + WINDOW - 1 = 51 words or more goes.
 NOISE, WINDOW = 32, 20
@@ -187,9 +188,11 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts stay null, a document that is a repeat as a whole keeps its row with an empty text. Null
     ids come first in the order. Rows equal in id and text count as one document and are treated alike.
     """
+    columns = docs.columns
+    docs, (id_col, text_col) = shielded(docs, id_col, text_col)
     prints_at = scratch(docs.sparkSession, "prints")
     fingerprints(docs, id_col, text_col, noise, window).write.parquet(prints_at)
-    edges = checkpoint(_edges(docs.sparkSession.read.parquet(prints_at), noise))
+    edges = checkpoint(_edges(docs.sparkSession.read.schema("h long, id long, th long, pos int").parquet(prints_at), noise))
     size = 16 * edges.count()
     places = edges.select("id", "th", "at").union(edges.select("id0", "th0", "at0"))
     around = checkpoint(_context(docs, id_col, text_col, places, size, window))
@@ -220,6 +223,6 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns.append(pa.array(counts))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = [*docs.columns, removed_col] if removed else docs.columns
-    schema = docs.schema.add(removed_col, "long") if removed else docs.schema
-    return both.mapInArrow(run, schema)
+    names = [*docs.columns, "removed"] if removed else docs.columns
+    schema = StructType([*docs.schema.fields, *([StructField("removed", LongType())] if removed else [])])
+    return both.mapInArrow(run, schema).toDF(*columns, *([removed_col] if removed else []))

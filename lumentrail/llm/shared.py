@@ -47,3 +47,8 @@ def scratch(spark: SparkSession, kind: str) -> str:
 def maybe_broadcast(df: DataFrame, size: int) -> DataFrame:
     """Broadcast ``df``, of ``size`` bytes by count, if that is within the bound; otherwise leave it to shuffle."""
     return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
+
+
+def shielded(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named by number, so that none clashes with an operator's own, and the new names of some."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), [f"c{docs.columns.index(n)}" for n in named]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumentrail.llm import words as W
 from lumentrail.llm.components import components
-from lumentrail.llm.shared import checkpoint, maybe_broadcast
+from lumentrail.llm.shared import checkpoint, maybe_broadcast, shielded
 
 GENERATOR, N, CHECKS, RADIUS = 0b101011100011, 23, 11, 3
 
@@ -170,6 +170,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null ids come last, and of rows that share an id that with the least hash of its text is left. Of rows
     equal in both one stays. What goes is joined, and broadcast while it is small, so that texts don't move.
     """
+    columns = docs.columns
+    docs, (id_col, text_col) = shielded(docs, id_col, text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__th"), F.col(text_col).cast("string").alias("text"))
     fps = checkpoint(fingerprint(keyed, "__id", "text", shingle, ["__th"]).withColumnRenamed("doc_id", "__id"))
     rooted = _grouped(fps, threshold)
@@ -183,4 +185,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = docs.select("*", key, th).join(maybe_broadcast(gone, 16 * gone.count()), (F.col("__th") == F.col("__gth")) & F.col("__id").eqNullSafe(F.col("__gid")), "left_anti")
     if not marked.where("stays and n > 1").isEmpty():
         left = left.dropDuplicates(["__id", "__th"])
-    return left.select(*docs.columns)
+    return left.select(*docs.columns).toDF(*columns)
