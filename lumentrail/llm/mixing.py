@@ -33,7 +33,9 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.floor(counts * (budget / total)).astype(np.int64)
+    # leave a few of the largest documents' sizes to the exact fit, so that it has documents to choose from
+    spared = min(budget, FIT // 2, 8 * int(sizes[-1]))
+    take = np.floor(counts * ((budget - spared) / total)).astype(np.int64)
     left, free = budget - int((sizes * take).sum()), counts - take
     for i in range(len(sizes) - 1, -1, -1):  # large sizes first, until the exact fit can reach the rest
         if left <= FIT:
