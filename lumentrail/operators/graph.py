@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _materialised(df: DataFrame) -> DataFrame:
+def materialised(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that the cluster names; a local one only where none is named."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -22,13 +22,13 @@ def components(edges: DataFrame) -> DataFrame:
     Every round, each node takes the least label among itself and its neighbours and then its label's label, so
     labels travel twice as far each time. Rounds end when a checksum of the labels stays.
     """
-    both = _materialised(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
-    labels = _materialised(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root")))
+    both = materialised(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
+    labels = materialised(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root")))
     last = None
     while (now := labels.agg(F.count("*"), F.sum(F.col("root").cast("decimal(38,0)"))).first()) != last:
         last = now
         near = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
         one = labels.join(near, labels["node"] == near["u"]).select("node", F.least("root", "near").alias("root"))
         two = one.join(one.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left")
-        labels = _materialised(two.select("node", F.least("root", F.coalesce("far", "root")).alias("root")))
+        labels = materialised(two.select("node", F.least("root", F.coalesce("far", "root")).alias("root")))
     return labels
