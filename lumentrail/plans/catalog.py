@@ -370,10 +370,10 @@ def stamps_normalised(spark, d):
 
 @query(f"""WITH {V.CURVES}, b AS (SELECT vec_id AS id, 0.1 + (vec_id % 5) / 10.0 AS flux FROM embeddings), o AS (SELECT k, -1.0 + k * 0.5 AS "offset" FROM (SELECT unnest(range(0, 5)) AS k)),
  chi AS (SELECT id, flux, k, "offset", sum(pow(psi - flux * "offset", 2) / phi) AS chi2 FROM cu JOIN b USING (id), o GROUP BY ALL),
- r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(chi2, 9), k) AS r FROM chi) SELECT id, round(flux * "offset", 6) AS best_flux, "offset", round(chi2, 6) AS chi2 FROM r WHERE r = 1 AND k NOT IN (0, 4)""")
+ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(chi2, 9), k) AS r FROM chi) SELECT id, round(flux * "offset", 6) AS best_flux, "offset", round(chi2, 4) AS chi2 FROM r WHERE r = 1 AND k NOT IN (0, 4)""")
 def brightness(spark, d):
     c = V.curves(spark, d).select("id", (0.1 + (F.col("id") % 5) / 10.0).alias("flux"), F.posexplode(F.arrays_zip("psi_curve", "phi_curve")).alias("i", "c")).select("id", "flux", "i", F.col("c.psi_curve").alias("sci"), F.col("c.phi_curve").alias("var"))
-    return stamps.brightness_search(c, [-1.0, -0.5, 0.0, 0.5, 1.0]).select("id", *r6("best_flux"), "offset", *r6("chi2"))
+    return stamps.brightness_search(c, [-1.0, -0.5, 0.0, 0.5, 1.0]).select("id", *r6("best_flux"), "offset", F.round("chi2", 4).alias("chi2"))
 
 
 @query(f"WITH {V.OBSERVATIONS} SELECT id, count(DISTINCT floor(mjd)) AS num_days FROM ob GROUP BY id")
