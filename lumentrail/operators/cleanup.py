@@ -57,13 +57,20 @@ def with_features(trajectories: DataFrame, kind: str, times: tuple[float, float,
     return trajectories.withColumn("f", F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in cols]))
 
 
-def neighbours(points: DataFrame, eps: float) -> DataFrame:
-    """``(a, b)``: ids of all pairs of points ``(id, f)`` within ``eps``, in both directions, without equal ids."""
+def dimensions(kind: str) -> int:
+    return len(FEATURES[kind]([0.0, 0.0, 0.0], 1.0))
+
+
+def neighbours(points: DataFrame, eps: float, dims: int) -> DataFrame:
+    """``(a, b)``: ids of all pairs of points ``(id, f)`` within ``eps``, in both directions, without equal ids.
+
+    ``f`` has ``dims`` elements; cells are of the first two.
+    """
     cell = lambda i, d=0: (F.floor(F.col("f")[i] / eps) + d).cast("long")
     home = points.select(F.col("id").alias("a"), F.col("f").alias("fa"), cell(0).alias("c0"), cell(1).alias("c1"))
     shift = F.array(*map(F.lit, (-1, 0, 1)))
     near = points.select("id", "f", F.explode(F.transform(shift, lambda d: cell(0) + d)).alias("c0")).select(F.col("id").alias("b"), F.col("f").alias("fb"), "c0", F.explode(F.transform(shift, lambda d: (F.floor(F.col("f")[1] / eps) + d).cast("long"))).alias("c1"))
-    d2 = F.aggregate(F.zip_with("fa", "fb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    d2 = sum((F.col("fa")[i] - F.col("fb")[i]) * (F.col("fa")[i] - F.col("fb")[i]) for i in range(dims))
     return home.join(near, ["c0", "c1"]).where((F.col("a") != F.col("b")) & (d2 <= eps * eps)).select("a", "b")
 
 
@@ -73,7 +80,7 @@ def clustered(trajectories: DataFrame, kind: str, eps: float, times: tuple[float
     This is DBSCAN with clusters from one point on. The linking goes by stars, see ``graph.components``.
     """
     points = with_features(trajectories, kind, times, v_scale)
-    of = components(neighbours(points, eps).where("a > b").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    of = components(neighbours(points, eps, dimensions(kind)).where("a > b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     return trajectories.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("root", "id")).drop("root")
 
 
@@ -91,7 +98,7 @@ def sweep(trajectories: DataFrame, kind: str, eps: float, times: tuple[float, fl
     exact ties are few.
     """
     points = with_features(trajectories, kind, times).select("id", "lh", "f")
-    pairs = neighbours(points, eps).join(points.select(F.col("id").alias("a"), F.col("lh").alias("la")), "a").join(points.select(F.col("id").alias("b"), F.col("lh").alias("lb")), "b")
+    pairs = neighbours(points, eps, dimensions(kind)).join(points.select(F.col("id").alias("a"), F.col("lh").alias("la")), "a").join(points.select(F.col("id").alias("b"), F.col("lh").alias("lb")), "b")
     beaten = pairs.where("lb > la").select(F.col("a").alias("id")).distinct()
     top = trajectories.join(beaten, "id", "left_anti")
     ties = pairs.where("la = lb and a > b").join(beaten.select(F.col("id").alias("a")), "a", "left_anti").join(beaten.select(F.col("id").alias("b")), "b", "left_anti").select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -62,7 +62,8 @@ def clip_area(subject: list[tuple[float, float]], ra: float, dec: float, size: f
 def overlaps(chips: DataFrame, grid: DataFrame, cell: float, min_overlap: float = 0.0) -> DataFrame:
     """``(patch_id, chip_id, overlap)``: area in square degrees of ``chips(chip_id, ra, dec, corners)`` in patches.
 
-    Candidates by cells as wide as a patch and a chip together; polygons are clipped in a pandas UDF.
+    Candidates by cells as wide as a patch and a chip together, then by bounds; only polygons that may overlap are
+    clipped, in a pandas UDF.
     """
 
     def area(corners: pd.Series, ra: pd.Series, dec: pd.Series, size: pd.Series) -> pd.Series:
@@ -70,10 +71,13 @@ def overlaps(chips: DataFrame, grid: DataFrame, cell: float, min_overlap: float
 
     b = lambda c: F.floor(c / cell)
     d = F.array(*map(F.lit, (-1, 0, 1)))
-    c = chips.select("chip_id", "corners", b(F.col("ra")).alias("br"), b(F.col("dec") + 90).alias("bd"))
+    edge = lambda f, axis: f(F.col("corners")[axis]).alias(f"{axis}_{'lo' if f is F.array_min else 'hi'}")
+    c = chips.select("chip_id", "corners", b(F.col("ra")).alias("br"), b(F.col("dec") + 90).alias("bd"), *[edge(f, x) for f in (F.array_min, F.array_max) for x in ("ra", "dec")])
     g = grid.select("patch_id", "ra", "dec", "size", F.explode(F.transform(d, lambda e: b(F.col("ra")) + e)).alias("br"))
     g = g.select("*", F.explode(F.transform(d, lambda e: b(F.col("dec") + 90) + e)).alias("bd"))
-    both = c.join(g, ["br", "bd"]).withColumn("overlap", F.pandas_udf(area, "double")("corners", "ra", "dec", "size"))
+    half = F.col("size") / 2
+    touch = (F.col("ra_lo") < F.col("ra") + half) & (F.col("ra_hi") > F.col("ra") - half) & (F.col("dec_lo") < F.col("dec") + half) & (F.col("dec_hi") > F.col("dec") - half)
+    both = c.join(g, ["br", "bd"]).where(touch).withColumn("overlap", F.pandas_udf(area, "double")("corners", "ra", "dec", "size"))
     return both.where(F.col("overlap") > min_overlap).select("patch_id", "chip_id", "overlap")
 
 

@@ -307,7 +307,7 @@ START_END = "pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.x + a.vx * 2 - b.x -
 
 @query(f"WITH {V.TRAJECTORIES}, {PAIRS.format(on=START_END)} SELECT a, b FROM p")
 def neighbour_pairs(spark, d):
-    return cleanup.neighbours(cleanup.with_features(V.trajectories(spark, d), "start_end_position", (0.0, 1.0, 2.0)), 5.0)
+    return cleanup.neighbours(cleanup.with_features(V.trajectories(spark, d), "start_end_position", (0.0, 1.0, 2.0)), 5.0, 4)
 
 
 #: With all likelihoods different, the sweep keeps exactly those that no neighbour beats.
