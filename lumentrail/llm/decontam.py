@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumentrail.llm.shared import text_batches
+
 #: Edits allowed per character of an item. Within this, pieces keep about 12 characters.
 RATE = 0.08
 #: Items below this length must occur unchanged, between white space.
@@ -130,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null or blank texts and items match nothing. Repeated items with one id give one row per document,
     repeated documents give their rows again, and a null doc_id is carried. No text is cut short.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, distance int"
     out = docs.sparkSession.createDataFrame([], schema)
     for items in _passes(benchmark, item_col, item_text_col):
@@ -155,5 +157,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             for b in batches:
                 yield b.filter(pa.array(np.array([not matcher.find(t.as_py()) for t in b.column(at)], dtype=bool)))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = text_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lumentrail.llm import words as W
-from lumentrail.llm.shared import checkpoint, maybe_broadcast, scratch, shielded
+from lumentrail.llm.shared import checkpoint, maybe_broadcast, scratch, shielded, text_batches
 
 #: No repeated run below NOISE words is touched; every one of NOISE + WINDOW - 1 = 51 words or more goes.
 NOISE, WINDOW = 32, 20
@@ -189,7 +189,7 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids come first in the order. Rows equal in id and text count as one document and are treated alike.
     """
     columns = docs.columns
-    docs, (id_col, text_col) = shielded(docs, id_col, text_col)
+    docs, (id_col, text_col) = shielded(text_batches(docs), id_col, text_col)
     prints_at = scratch(docs.sparkSession, "prints")
     fingerprints(docs, id_col, text_col, noise, window).write.parquet(prints_at)
     edges = checkpoint(_edges(docs.sparkSession.read.schema("h long, id long, th long, pos int").parquet(prints_at), noise))

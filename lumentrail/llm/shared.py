@@ -39,6 +39,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after making Arrow batches small enough for long texts, unless the session has its own size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder name below the shared folder."""
     return os.path.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumentrail.llm import words as W
 from lumentrail.llm.components import components
-from lumentrail.llm.shared import checkpoint, maybe_broadcast, shielded
+from lumentrail.llm.shared import checkpoint, maybe_broadcast, shielded, text_batches
 
 GENERATOR, N, CHECKS, RADIUS = 0b101011100011, 23, 11, 3
 
@@ -65,7 +65,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fp = fingerprints_of(*W.utf8(b.column(1)), shingle=shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *also])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also)
+    src = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also)
     return src.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in also)]))
 
 

@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrail.llm.shared import checkpoint, scratch
+from lumentrail.llm.shared import checkpoint, scratch, text_batches
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive that one task owns.
@@ -108,7 +108,7 @@ def write_warc(records: DataFrame, path: str, prefix: str = "part") -> DataFrame
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "records": [n]})
 
-    return checkpoint(records.mapInArrow(run, "file string, bytes long, records long"))
+    return checkpoint(text_batches(records).mapInArrow(run, "file string, bytes long, records long"))
 
 
 class _Window:
