@@ -446,8 +446,8 @@ def nearest_velocity(spark, d):
 
 @query()
 def assigned_trajectories(spark, d):
-    t = V.trajectories(spark, d).withColumn("g", F.col("x") % 10)
-    return match.match_sets(t.where("id % 2 = 0"), t.where("id % 2 = 1"), [0.0, 2.0], 8.0, groups="g")
+    t = V.trajectories(spark, d)
+    return match.match_sets(t.where("id % 2 = 0"), t.where("id % 2 = 1"), [0.0, 2.0], 8.0)
 
 
 LINES = f"WITH {V.OBSERVATIONS}, z AS (SELECT id, mjd - 60310 AS zt, ra * 1000 AS x, dec * 1000 + value AS y FROM ob)"

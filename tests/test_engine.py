@@ -15,6 +15,7 @@ from lumentrail.config import SearchConfig
 from lumentrail.functions import sky
 from lumentrail.operators import candidates, cleanup, curves, images, match, results, search, stamps
 from lumentrail.operators.regions import clip_area, patch_pixels
+from lumentrail.plans import catalog, views
 from lumentrail.sources import fits, tables
 from lumentrail.streaming import grid
 
@@ -139,6 +140,37 @@ def test_assignment_is_optimal(n, more, seed):
     assert len(set(pick)) == n and sum(c[i, j] for i, j in enumerate(pick)) == best
 
 
+def mean_distances(a, b, times):
+    at = lambda p, t: (p.x + p.vx * t).to_numpy(float) + 1j * (p.y + p.vy * t).to_numpy(float)
+    return np.mean([np.abs(at(a, t)[:, None] - at(b, t)[None, :]) for t in times], axis=0)
+
+
+def test_matched_sets_are_optimal(spark):
+    rng = np.random.default_rng(3)
+    for n, m, size in ((6, 7, 12), (7, 5, 12), (6, 6, 30)):
+        a, b = (pd.DataFrame({"id": range(k), "x": rng.integers(-size, size, k), "y": rng.integers(-5, 5, k), "vx": rng.integers(-2, 3, k) * 1.0, "vy": rng.integers(-2, 3, k) * 1.0}) for k in (n, m))
+        cost = mean_distances(a, b, [0.0, 2.0])
+        cost = cost if n <= m else cost.T
+        tries = ([cost[i, j] for i, j in enumerate(p) if cost[i, j] <= 8] for p in itertools.permutations(range(max(n, m)), min(n, m)))
+        best = min((-len(t), sum(t)) for t in tries)
+        got = match.match_sets(spark.createDataFrame(a), spark.createDataFrame(b), [0.0, 2.0], 8.0).toPandas()
+        assert got["query_id"].is_unique and got["id"].is_unique
+        assert (-len(got), got["distance"].sum()) == pytest.approx(best)
+
+
+def test_assigned_trajectories_match_across_all_positions(spark):
+    d = "/root/testdata/sf0.001"
+    t = views.trajectories(spark, d).toPandas()
+    a, b = (t[t.id % 2 == k].reset_index() for k in (0, 1))
+    cost = mean_distances(a, b, [0.0, 2.0])
+    pick = match.assign(np.where(cost <= 8, cost, 1e6))
+    best = cost[np.arange(len(a)), pick]
+    got = catalog.queries()["assigned_trajectories"](spark, d).toPandas()
+    assert got["query_id"].is_unique and got["id"].is_unique
+    assert len(got) == (best <= 8).sum()
+    assert got["distance"].sum() == pytest.approx(best[best <= 8].sum())
+
+
 def test_nearest_time_prefers_the_earlier(spark):
     left = spark.createDataFrame([(1, 10.0), (2, 10.25), (3, 20.0)], "event_id long, mjd double")
     times = spark.createDataFrame([(0, 9.75), (1, 10.25)], "time_id long, mjd double")
