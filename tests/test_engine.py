@@ -178,6 +178,35 @@ def test_nearest_time_prefers_the_earlier(spark):
     assert got == {1: 0, 2: 1, 3: -1}
 
 
+def test_sky_queries_take_all_customers(spark, tmp_path):
+    """150 and later customers are catalogued, matched by their users and missed without; against brute force."""
+    keys = [0, 7, 149, 150, 151, 399]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    day = pd.Timestamp("2024-01-01")  # mjd 60310
+    rows = [(e, u, day + pd.Timedelta(days=e % 9, hours=h), 1.0) for e, (u, h) in enumerate(itertools.product([7, 149, 150, 399, 400], [0, 1, 1, 1, 6]))]
+    events = spark.createDataFrame(pd.DataFrame(rows, columns=["event_id", "user_id", "ts", "value"])).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    place = lambda k, e: (10 + k % 10 * 0.01 + e % 7 * 0.0001, -5 + k // 10 * 0.01 + e % 5 * 0.0001)
+
+    def near(a, b):
+        (r1, d1), (r2, d2) = np.radians(a), np.radians(b)
+        h = math.sin((d2 - d1) / 2) ** 2 + math.cos(d1) * math.cos(d2) * math.sin((r2 - r1) / 2) ** 2
+        return math.degrees(2 * math.asin(math.sqrt(h))) <= 0.001
+
+    seen = {(u, e, k) for e, u, ts, _ in rows for k in keys if (ts - ts.normalize()).total_seconds() <= 0.05 * 86400 and near(place(u, e), place(k, 0))}
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r["id"], r["i"], r["name"]) for r in run("sky_matches")} == seen
+    assert {k for *_, k in seen} == {7, 149, 150, 399}
+    assert {r["i"] for r in run("unmatched_observations")} == {r[0] for r in rows} - {e for _, e, _ in seen}
+    assert {(r["name"], r["recovered"]) for r in run("recovered_and_missed")} == {(k, k in (7, 149, 150, 399)) for k in keys}
+    of = {}
+    for u, e, k in seen:
+        of.setdefault((u, k), []).append(e)
+    assert {(r["id"], r["name"]): r["observations"] for r in run("matched_observations")} == {p: ",".join(map(str, sorted(e))) for p, e in of.items()}
+    assert {(r["id"], r["name"]): r["n"] for r in run("recovered_by_count")} == {p: len(e) for p, e in of.items() if len(e) >= 3}
+    assert {(r["id"], r["name"]): r["ratio"] for r in run("recovered_by_ratio")} == {p: round(len(e) / 30, 6) for p, e in of.items() if len(e) / 30 <= 0.15}
+
+
 def test_sky_match_wraps_around(spark):
     obs = spark.createDataFrame([(1, 0, 5.0, 359.9999, 89.0), (2, 0, 5.0, 0.0, -10.0)], "id long, i long, mjd double, ra double, dec double")
     cat = spark.createDataFrame([("a", 5.0, 0.0001, 89.0), ("b", 5.0, 359.9999, -10.0), ("c", 9.0, 0.0, -10.0)], "name string, mjd double, ra double, dec double")
