@@ -436,7 +436,7 @@ NEAR = f"""WITH {V.TRAJECTORIES}, q AS (SELECT * FROM tr WHERE id % 20 = 0), h A
 @query(NEAR)
 def nearest_trajectories(spark, d):
     t = V.trajectories(spark, d)
-    return match.nearest_trajectory(t.where("id % 20 = 0"), t.where("id % 20 <> 0"), [0.0, 2.0]).select("query_id", "id", *r6("distance"))
+    return match.nearest_trajectory(t.where("id % 20 = 0"), t, [0.0, 2.0]).select("query_id", "id", *r6("distance"))
 
 
 @query("SELECT b * 9 + a AS vel_id FROM (SELECT unnest(range(0, 9)) AS a), (SELECT unnest(range(0, 9)) AS b) ORDER BY pow(a * 0.5 - 2 - 0.7, 2) + pow(b * 0.5 - 2 + 1.1, 2), vel_id LIMIT 1")

@@ -171,6 +171,16 @@ def test_assigned_trajectories_match_across_all_positions(spark):
     assert got["distance"].sum() == pytest.approx(best[best <= 8].sum())
 
 
+def test_nearest_trajectories_look_at_all_other_rows(spark):
+    d = "/root/testdata/sf0.001"
+    t = views.trajectories(spark, d).toPandas().sort_values("id", ignore_index=True)
+    cost = mean_distances(t, t, [0.0, 2.0]).round(9)
+    np.fill_diagonal(cost, np.inf)
+    best = {int(t.id[i]): (int(t.id[cost[i].argmin()]), round(cost[i].min(), 6)) for i in np.flatnonzero(t.id % 20 == 0)}
+    got = {r.query_id: (r.id, r.distance) for r in catalog.queries()["nearest_trajectories"](spark, d).collect()}
+    assert got == best
+
+
 def test_nearest_time_prefers_the_earlier(spark):
     left = spark.createDataFrame([(1, 10.0), (2, 10.25), (3, 20.0)], "event_id long, mjd double")
     times = spark.createDataFrame([(0, 9.75), (1, 10.25)], "time_id long, mjd double")
