@@ -124,7 +124,7 @@ def _matrix(col: pa.Array, d: int) -> np.ndarray:
 
 
 class Best:
-    """The k nearest so far of each query, in distance and then id."""
+    """The k nearest so far of each query, in distance and then id; an id counts once, at its least distance."""
 
     def __init__(self, ids: np.ndarray, k: int):
         self.own, self.k = ids, k
@@ -135,6 +135,10 @@ class Best:
         score = np.hstack([self.score[rows], np.where(ids == self.own[rows][:, None], np.inf, score)])
         ids = np.hstack([self.id[rows], ids])
         ids = np.where(np.isinf(score), np.iinfo(np.int64).max, ids)
+        by_id = np.lexsort((score, ids), axis=1)
+        score, ids = np.take_along_axis(score, by_id, 1), np.take_along_axis(ids, by_id, 1)
+        again = ids[:, 1:] == ids[:, :-1]  # the same id once more, no nearer
+        score[:, 1:][again], ids[:, 1:][again] = np.inf, np.iinfo(np.int64).max
         order = np.lexsort((ids, score), axis=1)[:, : self.k]
         self.score[rows], self.id[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
@@ -177,12 +181,12 @@ def valid(vec_col: str, d: int) -> Column:
 def index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> tuple[DataFrame, Codebook | None, int]:
     """``(vec_id, v, code)`` for all rows that take part, the codebook, and the dimension (the commonest length).
 
-    Rows with a null id take no part.
+    Rows with a null id take no part. Equal rows are one.
     """
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     sizes = src.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = sizes.d if sizes else 0
-    src = src.where(valid("v", d))
+    src = src.where(valid("v", d)).distinct()
     some = src.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow() if d else None
     if not some:
         return src.withColumn("code", F.lit(None).cast("binary")), None, d

@@ -50,6 +50,20 @@ def test_search_on_odd_rows(spark):
         assert ann.search(none, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_ids_fill_no_places(spark):
+    """Repeats of equal rows, and of ids with other vectors, in one partition; all rows are ranked exactly."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(14, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 10 + [(i, (v + 0.001 * j).tolist()) for i, v in enumerate(x) if i for j in range(1, 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    at = np.array([v for _, v in rows])
+    d = np.sqrt(((at - x[0]) ** 2).sum(axis=1))
+    least = sorted((min(d[k] for k, (i, _) in enumerate(rows) if i == n), n) for n in range(1, 14))[:10]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") == 0, rerank=1000).collect())
+    assert [i for _, i, _ in got] == [i for _, i in least]
+    assert [s for *_, s in got] == pytest.approx([s for s, _ in least])
+
+
 def test_many_equal_vectors_and_several_passes(spark, monkeypatch):
     monkeypatch.setattr(ann, "PASS_BYTES", 8 * 2 * 3)
     rows = [(i, [1.0, 0.5]) for i in range(1000)] + [(1000 + i, [float(i), -1.0]) for i in range(60)]
