@@ -429,7 +429,7 @@ def matched_observations(spark, d):
     return match.matched_observations(_sky(spark, d)).select("id", "name", F.concat_ws(",", F.transform("observations", lambda i: i.cast("string"))).alias("observations"))
 
 
-NEAR = f"""WITH {V.TRAJECTORIES}, q AS (SELECT * FROM tr WHERE id % 20 = 0), h AS (SELECT q.id AS query_id, tr.id, (sqrt(pow(tr.x - q.x, 2) + pow(tr.y - q.y, 2)) + sqrt(pow(tr.x + tr.vx * 2 - q.x - q.vx * 2, 2) + pow(tr.y + tr.vy * 2 - q.y - q.vy * 2, 2))) / 2 AS d FROM q, tr WHERE tr.id % 20 <> 0),
+NEAR = f"""WITH {V.TRAJECTORIES}, q AS (SELECT * FROM tr WHERE id % 20 = 0), h AS (SELECT q.id AS query_id, tr.id, (sqrt(pow(tr.x - q.x, 2) + pow(tr.y - q.y, 2)) + sqrt(pow(tr.x + tr.vx * 2 - q.x - q.vx * 2, 2) + pow(tr.y + tr.vy * 2 - q.y - q.vy * 2, 2))) / 2 AS d FROM q, tr WHERE tr.id <> q.id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS r FROM h) SELECT query_id, id, round(d, 6) AS distance FROM r WHERE r = 1"""
 
 
