@@ -207,6 +207,30 @@ def test_tree_is_in_depth_first_order_and_attends_to_ancestors(spark, tmp_path):
             position += n.length
 
 
+def test_turns_are_shared_at_any_depth(spark, tmp_path):
+    rng = random.Random(6)
+    paths = [[f"deep {t}" for t in range(d)] + [f"own {c} {t}" for t in range(rng.randrange(3))] for c, d in enumerate([70, 70, 64, 50, 33, 33, 200, 1, 0, 90])]
+    paths += [[rng.choice("ab") for _ in range(40)] for _ in range(30)] + [["a"] * d + ["b"] * 40 for d in range(40)]
+    df = spark.createDataFrame([(c, t, "user", x) for c, p in enumerate(paths) for t, x in enumerate(p)], "conv_id long, turn long, role string, text string")
+    turns = chat.turns(df.repartition(3)).cache()
+    nodes = sorted(chat.pack(turns, str(tmp_path / "n")).collect(), key=lambda r: bytes(r.key))
+    assert len(nodes) == len({tuple(p[: t + 1]) for p in paths for t in range(len(p))})
+    assert len(nodes) == turns.where("first").count() and max(len(r.key) for r in nodes) <= 8 + 24 * 8
+    by = {bytes(r.key): r for r in nodes}
+    assert [r.start for r in nodes] == [sum(x.length for x in nodes[:i]) for i in range(len(nodes))]
+    convs = {}
+    for r in turns.collect():
+        convs.setdefault(r.conv_id, []).append((r.turn_no, bytes(r.key)))
+    for p in convs.values():
+        seen = set()
+        for _, key in sorted(p):
+            n = by[key]
+            assert n.position == len(seen) and {i for s in n.attends for i in range(s["from"], s["to"])} == seen
+            seen |= set(range(n.start, n.start + n.length))
+    got = {r.conv_id: tuple(r)[1:] for r in chat.round_trip(df).collect()}
+    assert got == brute_digest([tuple(r) for r in df.collect()])
+
+
 # --- WARC ---
 
 
