@@ -4,28 +4,37 @@ A word's embedding is the sum of hashed embeddings of the word and of its beginn
 1 to 3 slide over the words, the largest response of each filter in the whole text is kept, and a
 logistic layer scores these maxima. A convolution over summed embeddings is a sum of per-word products,
 so scoring looks up one row of products per word and never builds a matrix of embeddings.
+
+Training takes every labelled document. They lie in shards by hash of the id; in each round every shard makes
+passes over its documents from the same parameters, and the changes are averaged, those of a row of embeddings by
+how often each shard touched it, so a word that few shards know learns as fast as in one.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumentrail.llm.shared import text_batches
+from lumentrail.llm.shared import checkpoint, text_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 6
 BEGINNINGS = (3, 4, 5, 6)
-#: The classifier is fitted on at most so many labelled documents of either class, least hash of the id first.
-SAMPLE_PER_CLASS = 5000
+#: There is a shard for so many labelled documents, but at most MOST_SHARDS, which grow. One of several reads so many
+#: documents, or so many words, at a time.
+SHARD, MOST_SHARDS, WORDS = 10_000, 64, 4_000_000
 FOLDS, SEED = 5, 7
+#: Over several shards, changes are averaged after so many passes. Rows of embeddings are summed in so many blocks.
+PASSES, BLOCKS = 2, 16
 #: Words whose products a scoring process keeps; beyond that it starts anew.
 KEPT_WORDS = 200_000
 
@@ -108,40 +117,41 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int | None = None) -> Model:
-    """Fits by minibatch Adagrad on the weighted log loss. Only the word under a maximum gets its gradient.
+class Learner:
+    """A model in training by minibatch Adagrad on the weighted log loss.
 
-    In training each occurrence of a word is dropped with probability 0.3, so that a text with several
-    telling words teaches all of them. With fewer than two classes the score is the share of label 1.
+    Only the word under a maximum gets its gradient. Each occurrence of a word is dropped with probability 0.3, so
+    that a text with several telling words teaches all of them. With fewer than two classes among its ``n``
+    documents the score is the share of label 1 and nothing is trained.
     """
-    rng = np.random.default_rng(SEED)
-    y = np.array(labels, np.float32)
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    m = Model(
-        np.vstack([rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((1, DIM))]).astype(np.float32),
-        rng.normal(0, DIM**-0.5, (DIM, PRODUCTS)).astype(np.float32),
-        np.full(len(WIDTHS) * FILTERS, -0.05, np.float32),
-        rng.uniform(0.5, 1.0, len(WIDTHS) * FILTERS).astype(np.float32) * np.tile(np.where(np.arange(FILTERS) % 3, 1, -1), len(WIDTHS)).astype(np.float32),
-        float(np.log(share / (1 - share))),
-    )
-    if not 0 < y.sum() < len(y):
-        m.out[:] = 0
-        return m
-    m.prior = -2.0
-    vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
-    blank = len(vocabulary)
-    pieces = np.fromiter((x for w in (*vocabulary, "") for x in pieces_of(w)), np.int32).reshape(blank + 1, -1)
-    pieces[blank] = BUCKETS
-    del vocabulary
-    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
-    epochs = epochs or max(6, min(40, 12_000 // len(y)))
-    squares = [np.full_like(x, 1e-4) for x in (m.embedding[:, :1], m.filters, m.bias, m.out)]
-    prior_sq = 1e-4
-    rate = 0.08
-    for epoch in range(epochs):
+
+    def __init__(self, n: int, positive: int):
+        rng = np.random.default_rng(SEED)
+        share = (positive + 0.5) / (n + 1)
+        self.model = m = Model(
+            np.vstack([rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((1, DIM))]).astype(np.float32),
+            rng.normal(0, DIM**-0.5, (DIM, PRODUCTS)).astype(np.float32),
+            np.full(len(WIDTHS) * FILTERS, -0.05, np.float32),
+            rng.uniform(0.5, 1.0, len(WIDTHS) * FILTERS).astype(np.float32) * np.tile(np.where(np.arange(FILTERS) % 3, 1, -1), len(WIDTHS)).astype(np.float32),
+            float(np.log(share / (1 - share))),
+        )
+        self.squares = [np.full_like(x, 1e-4) for x in (m.embedding[:, :1], m.filters, m.bias, m.out)]
+        self.prior_sq = 1e-4
+        self.touches, self.docs = np.zeros(BUCKETS + 1, np.float32), 0
+        self.trains = 0 < positive < n
+        if self.trains:
+            m.prior = -2.0
+            self.weights = np.array([n / (2 * (n - positive)), n / (2 * positive)], np.float32)
+        else:
+            m.out[:] = 0
+        self.epochs = max(6, min(40, 12_000 // max(n, 1))) if self.trains else 0
+
+    def learn(self, ids: list[np.ndarray], y: np.ndarray, pieces: np.ndarray, rng: np.random.Generator, epoch: int) -> None:
+        """One pass over texts of word numbers; ``pieces`` has the buckets of each word and, last, of the blank."""
+        m, squares, blank = self.model, self.squares, len(pieces) - 1
+        step = 0.08 * (1 - 0.8 * epoch / self.epochs)
         order = rng.permutation(len(y))
-        step = rate * (1 - 0.8 * epoch / epochs)
+        self.docs += len(y)
         for lo in range(0, len(y), 32):
             batch = order[lo : lo + 32]
             flat, first = lay_out([x[rng.random(len(x)) > 0.3] for x in (ids[i] for i in batch)], blank)
@@ -149,7 +159,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int | None = None) -
             emb = m.embedding[pieces[used]].sum(axis=1)
             pooled, where = pool(m.filters.T @ emb.T, at, first, m.bias, places=True)
             p = sigmoid(pooled @ m.out + m.prior)
-            g = (p - y[batch]) * weight[batch] / len(batch)
+            g = (p - y[batch]) * self.weights[y[batch]] / len(batch)
             d_out = g @ pooled + 1e-4 * m.out
             d_pool = g[:, None] * m.out[None, :] * (pooled > 0)
             d_prod = np.zeros((PRODUCTS, len(used)), np.float32)
@@ -165,12 +175,32 @@ def fit(texts: list[str | None], labels: list[int], epochs: int | None = None) -
             d_rows[touched == BUCKETS] = 0
             squares[0][touched, 0] += (d_rows**2).mean(axis=1)
             m.embedding[touched] -= step * d_rows / np.sqrt(squares[0][touched])
+            self.touches[touched] += 1
             for x, d, sq in ((m.filters, d_filters, squares[1]), (m.bias, d_pool.sum(axis=0), squares[2]), (m.out, d_out, squares[3])):
                 sq += d * d
                 x -= step * 0.5 * d / np.sqrt(sq)
-            prior_sq += float(g.sum()) ** 2
-            m.prior -= step * 0.5 * float(g.sum()) / prior_sq**0.5
-    return m
+            self.prior_sq += float(g.sum()) ** 2
+            m.prior -= step * 0.5 * float(g.sum()) / self.prior_sq**0.5
+
+    def state(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of embeddings with their squares, and all other parameters with theirs, as doubles."""
+        m = self.model
+        dense = [m.filters, m.bias, m.out, np.array([m.prior]), *self.squares[1:], np.array([self.prior_sq])]
+        return np.hstack([m.embedding, self.squares[0]]).astype(float), np.concatenate([x.ravel() for x in dense]).astype(float)
+
+    def change(self, rows: np.ndarray, dense: np.ndarray) -> None:
+        """Adds to the parameters what ``state`` would differ by."""
+        m = self.model
+        m.embedding += rows[:, :DIM].astype(np.float32)
+        self.squares[0] += rows[:, DIM:].astype(np.float32)
+        at = 0
+        for x in (m.filters, m.bias, m.out, None, *self.squares[1:], None):
+            n = 1 if x is None else x.size
+            if x is not None:
+                x += dense[at : at + n].reshape(x.shape).astype(np.float32)
+            at += n
+        m.prior += float(dense[m.filters.size + m.bias.size + m.out.size])
+        self.prior_sq += float(dense[-1])
 
 
 class Scorer:
@@ -211,38 +241,145 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Fits the classifier, and calibrates a threshold for each language, on documents that aren't held out.
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str) -> tuple[DataFrame, int]:
+    """``(fold, y, lang, words)`` of each labelled document that isn't held out, a partition per shard, and their number.
 
-    Labels other than 0 and 1 are ignored; of repeated labels the larger counts. A quarter of the sample is
-    left out of a first fit: on it each language gets the threshold, in the middle of its best range, that
-    gets most of both classes right (0.5 for languages with under 20 such rows or one class). The model
-    itself is then fitted on the whole sample.
+    ``words`` is compressed. The order within a shard is that of a hash of the id, whose last bit is the fold.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)").where(~held_out("__id")).groupBy("__id").agg(F.max("__y").alias("__y"))
-    picked = [r for y in (0, 1) for r in ids.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class).collect()]
-    spark = docs.sparkSession
-    small = F.broadcast(spark.createDataFrame(picked, "__id long, __y int"))  # at most 2 * per_class rows
-    found = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t"), F.col(lang_col).cast("string").alias("__l")).join(small, "__id").groupBy("__id").agg(F.max("__y").alias("y"), F.min(F.struct("__t", "__l")).alias("d"))
-    rows = sorted(found.select("__id", "y", "d.*").collect(), key=lambda r: crc32(f"{r[0]}.".encode()))
-    texts, y, langs = [r["__t"] for r in rows], [r["y"] for r in rows], [r["__l"] for r in rows]
-    cut = len(rows) * 3 // 4
-    thresholds: dict[str | None, float] = {}
-    if 0 < sum(y[:cut]) < cut:
-        scores = Scorer(fit(texts[:cut], y[:cut])).score(texts[cut:])
-        for lang in set(langs):
-            at = [i for i in range(cut, len(rows)) if langs[i] == lang]
-            s, t = scores[np.array(at, int) - cut], np.array([y[i] for i in at])
-            if len(at) >= 20 and 0 < t.sum() < len(t):
-                grid = np.linspace(0.05, 0.95, 91)
-                good = np.array([((s >= g) & (t == 1)).sum() / t.sum() + ((s < g) & (t == 0)).sum() / (1 - t).sum() for g in grid])
-                best = grid[good >= good.max() - 1e-12]
-                thresholds[lang] = float(best[np.argmin(abs(best - 0.5))])
-    model = fit(texts, y)
-    model.thresholds = thresholds
+    shards = max(1, min(MOST_SHARDS, -(-ids.count() // SHARD)))
+    texts = text_batches(docs).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t"), F.col(lang_col).cast("string").alias("__l")).where("__id is not null").where(~held_out("__id"))
+    found = texts.join(ids, "__id").groupBy("__id").agg(F.max("__y").alias("y"), F.min(F.struct("__t", "__l")).alias("d"))
+    found = found.select("__id", F.crc32(F.concat(F.col("__id").cast("string"), F.lit("."))).alias("h"), "y", F.col("d.__l").alias("lang"), F.col("d.__t").alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [zlib.compress("\n".join(words_of(t)).encode(), 1) for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(words, pa.binary())], ["id", "h", "y", "lang", "words"])
+
+    packed = found.mapInArrow(pack, "id long, h long, y int, lang string, words binary")
+    packed = packed.repartition(shards, "id").sortWithinPartitions("h", "id")
+    return checkpoint(packed.select((F.col("h") % 2).cast("int").alias("fold"), "y", "lang", "words")), shards
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Folds, labels, word numbers and buckets of words of so many documents at a time, or of all."""
+
+    def chunk():
+        pieces = np.fromiter((x for w in (*vocabulary, "") for x in pieces_of(w)), np.int32).reshape(len(vocabulary) + 1, -1)
+        pieces[-1] = BUCKETS
+        return np.array(fold), np.array(y), ids, pieces
+
+    fold, y, ids, vocabulary, size = [], [], [], {}, 0
+    for b in batches:
+        for f, label, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+            text = zlib.decompress(packed).decode()
+            fold.append(f)
+            y.append(label)
+            ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.split("\n")] if text else [], np.int32))
+            size += len(ids[-1])
+            if not whole and (len(ids) >= SHARD or size >= WORDS):
+                yield chunk()
+                fold, y, ids, vocabulary, size = [], [], [], {}, 0
+    if ids:
+        yield chunk()
+
+
+def _round(data: DataFrame, learners: list[Learner], epochs: list[range], whole: bool) -> None:
+    """Passes over all documents in all shards, and changes the learners by the averages.
+
+    Learner k leaves out fold k. ``epochs`` says which passes each makes, one after the other over what is read at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
+        before = [x.state() for x in learners]
+        for x in learners:
+            x.touches[:], x.docs = 0, 0
+        rng = np.random.default_rng((SEED, shard, epochs[-1].start))
+        for fold, y, ids, pieces in _chunks(batches, whole):
+            for k, x in enumerate(learners):
+                at = np.flatnonzero(fold != k)
+                for epoch in epochs[k] if len(at) else ():
+                    x.learn([ids[i] for i in at], y[at], pieces, rng, epoch)
+        out = []
+        for k, (x, (rows, dense)) in enumerate(zip(learners, before, strict=True)):
+            if not x.docs:
+                continue
+            now_rows, now_dense = x.state()
+            weighted = np.hstack([(now_rows - rows) * x.touches[:, None], x.touches[:, None]])
+            out += [(k, j, shard, part.astype(np.float32).tobytes()) for j, part in enumerate(np.array_split(weighted, BLOCKS))]
+            out.append((k, BLOCKS, shard, (np.append(now_dense - dense, 1) * x.docs).astype(np.float32).tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["k", "block", "shard", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for k, j, _, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums[k, j] = sums.get((k, j), 0) + np.frombuffer(part, np.float32).astype(float)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int32()), pa.array([j for _, j in sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["k", "block", "sums"])
+
+    parts = data.mapInArrow(run, "k int, block int, shard int, sums binary")
+    parts = parts.repartition("k", "block").sortWithinPartitions("k", "block", "shard").mapInArrow(add, "k int, block int, sums binary")
+    found = {(r.k, r.block): np.frombuffer(r.sums) for r in parts.collect()}
+    for k, x in enumerate(learners):
+        if (k, BLOCKS) in found:
+            rows = np.concatenate([found[k, j] for j in range(BLOCKS)]).reshape(BUCKETS + 1, -1)
+            dense = found[k, BLOCKS]
+            x.change(rows[:, :-1] / np.maximum(rows[:, -1:], 1), dense[:-1] / dense[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Model:
+    """Fits the classifier, and calibrates a threshold for each language, on all labelled documents that aren't held out.
+
+    Labels other than 0 and 1 are ignored; of repeated labels the larger counts. Two more models are fitted
+    without either half of the documents and score that half: by these scores each language gets the threshold,
+    in the middle of its best range, that gets most of both classes right (0.5 for languages with under 20 such
+    rows or one class).
+    """
+    data, shards = _labelled(docs, labels, id_col, text_col, lang_col, label_col)
+    counts = {r.fold: (r.n, r.p) for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect()}
+    learners = [Learner(*(sum(x[i] for f, x in counts.items() if f != k) for i in (0, 1))) for k in (0, 1, 2)]
+    most = max(x.epochs for x in learners)
+    passes = most if shards == 1 else PASSES
+    for first in range(0, most, max(1, passes)):
+        _round(data, learners, [range(first, min(first + passes, x.epochs)) for x in learners], shards == 1)
+    model = learners[2].model
+    if all(x.trains for x in learners):
+        model.thresholds = _thresholds(data, [x.model for x in learners[:2]])
     return model
 
 
+def _thresholds(data: DataFrame, models: list[Model]) -> dict[str | None, float]:
+    """By language, from the scores that each fold gets from the model without it."""
+    grid = np.linspace(0.05, 0.95, 91)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [Scorer(m) for m in models]
+        for b in batches:
+            fold, texts = b.column(0).to_numpy(), [zlib.decompress(x).decode() for x in b.column(3).to_pylist()]
+            reached = np.zeros(len(texts), np.int32)
+            for k, scorer in enumerate(scorers):
+                at = np.flatnonzero(fold == k)
+                reached[at] = np.searchsorted(grid, scorer.score([texts[i] for i in at]), side="right")
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(reached)], ["lang", "y", "reached"])
+
+    by: dict[str | None, np.ndarray] = {}
+    for r in data.mapInArrow(run, "lang string, y int, reached int").groupBy("lang", "y", "reached").count().collect():
+        by.setdefault(r.lang, np.zeros((2, len(grid) + 1)))[r.y, r.reached] += r["count"]
+    thresholds: dict[str | None, float] = {}
+    for lang, n in by.items():
+        total = n.sum(axis=1)
+        if total.sum() >= 20 and total.all():
+            below = n.cumsum(axis=1)[:, :-1]  # by grid value, how many stay below it
+            good = (total[1] - below[1]) / total[1] + below[0] / total[0]
+            best = grid[good >= good.max() - 1e-12]
+            thresholds[lang] = float(best[np.argmin(abs(best - 0.5))])
+    return thresholds
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, held_out, score, predicted, rejected)`` for every row; only the text enters the score.
 

@@ -418,6 +418,35 @@ def test_held_out_accuracy(spark):
     assert toxicity.score(empty(spark), toxicity.train(empty(spark), labels)).count() == 0
 
 
+def test_training_takes_every_label(spark):
+    """One insult stands only in those 3,000 of 10,000 toxic documents that the 5,000 of least hash don't reach."""
+    rng = random.Random(5)
+    late = [r.id for r in spark.range(10_000).orderBy(F.xxhash64("id")).collect()][7000:]
+    plain = [f"{a}{b}" for a in ("ra", "to", "mi", "ne", "sa") for b in ("lo", "ku", "pe", "du", "vi")]
+    insult = dict.fromkeys(range(10_000), "grobian") | dict.fromkeys(late, "schuft")
+    rows = [(" ".join([*rng.choices(plain, k=6), insult[i]]) if i in insult else " ".join(rng.choices(plain, k=7)), int(i in insult)) for i in range(12_000)]
+    df = docs(spark, [t for t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(df, toxicity.train(df, labels)).collect() if r.held_out}
+    caught = [got[i].predicted for i in late if i in got]
+    assert len(caught) > 500 and np.mean(caught) > 0.99
+    assert np.mean([r.predicted == rows[i][1] for i, r in got.items()]) > 0.99
+
+
+def test_shards_hold_every_label_and_reruns_agree(spark, monkeypatch):
+    rows = toxic_corpus(1500)
+    df = docs(spark, [t for t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD", 400)
+    data, shards = toxicity._labelled(df, labels, "doc_id", "text", "lang", "toxic")
+    told = [i for i in range(len(rows)) if crc32(str(i).encode()) % 5]
+    assert shards == data.rdd.getNumPartitions() == -(-len(told) // 400)
+    assert Counter(r.y for r in data.collect()) == Counter(rows[i][1] for i in told)
+    got = toxicity.score(df, toxicity.train(df, labels)).collect()
+    assert np.mean([r.predicted == rows[r.doc_id][1] for r in got if r.held_out]) > 0.95
+    assert toxicity.score(df, toxicity.train(df, labels)).collect() == got
+
+
 def test_the_pool_equals_a_loop():
     rng = np.random.default_rng(1)
     table = rng.normal(size=(toxicity.PRODUCTS, 30)).astype(np.float32)
