@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -43,10 +44,36 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-def pieces_of(word: str) -> list[int]:
-    """Buckets of a word and its beginnings; unused places point at the row of zeros."""
-    out = [crc32(word.encode()) % BUCKETS] + [crc32(b"^" + word[:n].encode()) % BUCKETS for n in BEGINNINGS if len(word) >= n]
-    return out + [BUCKETS] * (1 + len(BEGINNINGS) - len(out))
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+def beginnings(start: str) -> list[int]:
+    out = [crc32(b"^" + start[:n].encode()) % BUCKETS for n in BEGINNINGS if len(start) >= n]
+    return out + [BUCKETS] * (len(BEGINNINGS) - len(out))
+
+
+def pieces_of(words: list[str]) -> np.ndarray:
+    """Buckets of each word and its beginnings; unused places point at the row of zeros."""
+    starts = Numbers()
+    at = starts.of([w[: BEGINNINGS[-1]] for w in words])
+    whole = np.fromiter((crc32(w.encode()) % BUCKETS for w in words), np.int32, len(words))
+    return np.hstack([whole[:, None], np.array([beginnings(x) for x in starts], np.int32).reshape(-1, len(BEGINNINGS))[at]])
+
+
+def summed(embedding: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """A row per word: the sum of its pieces' embeddings."""
+    out = embedding.take(pieces[:, 0], axis=0, mode="clip")
+    for i in range(1, pieces.shape[1]):
+        out += embedding.take(pieces[:, i], axis=0, mode="clip")
+    return out
 
 
 PRODUCTS = sum(WIDTHS) * FILTERS
@@ -78,7 +105,7 @@ class Model:
 
     def products(self, pieces: np.ndarray) -> np.ndarray:
         """A column per word, a row per filter and offset."""
-        return self.filters.T @ self.embedding[pieces].sum(axis=1).T
+        return self.filters.T @ summed(self.embedding, pieces).T
 
 
 def lay_out(parts: list, blank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,10 +183,10 @@ class Learner:
             batch = order[lo : lo + 32]
             flat, first = lay_out([x[rng.random(len(x)) > 0.3] for x in (ids[i] for i in batch)], blank)
             used, at = np.unique(flat, return_inverse=True)
-            emb = m.embedding[pieces[used]].sum(axis=1)
+            emb = summed(m.embedding, pieces[used])
             pooled, where = pool(m.filters.T @ emb.T, at, first, m.bias, places=True)
             p = sigmoid(pooled @ m.out + m.prior)
-            g = (p - y[batch]) * self.weights[y[batch]] / len(batch)
+            g = ((p - y[batch]) * self.weights[y[batch]] / len(batch)).astype(np.float32)
             d_out = g @ pooled + 1e-4 * m.out
             d_pool = g[:, None] * m.out[None, :] * (pooled > 0)
             d_prod = np.zeros((PRODUCTS, len(used)), np.float32)
@@ -169,9 +196,11 @@ class Learner:
             hot = np.flatnonzero(d_prod.any(axis=0))
             d_filters = emb[hot].T @ d_prod[:, hot].T + 1e-5 * m.filters
             d_emb = d_prod[:, hot].T @ m.filters.T
-            touched, back = np.unique(pieces[used[hot]], return_inverse=True)
-            d_rows = np.zeros((len(touched), DIM), np.float32)
-            np.add.at(d_rows, back.reshape(-1), np.repeat(d_emb, pieces.shape[1], axis=0))
+            flat = pieces[used[hot]].ravel()
+            by = np.argsort(flat, kind="stable")
+            begins = np.flatnonzero(np.diff(flat[by], prepend=-1))
+            touched = flat[by[begins]]
+            d_rows = np.add.reduceat(d_emb[by // pieces.shape[1]], begins, axis=0) if len(by) else np.zeros((0, DIM), np.float32)
             d_rows[touched == BUCKETS] = 0
             squares[0][touched, 0] += (d_rows**2).mean(axis=1)
             m.embedding[touched] -= step * d_rows / np.sqrt(squares[0][touched])
@@ -207,7 +236,7 @@ class Scorer:
     """Scores batches of texts, keeping the products of the words that it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.seen, self.rows = model, {"": 0}, np.zeros((PRODUCTS, 1024), np.float32)
+        self.model, self.seen, self.rows = model, Numbers({"": 0}), np.zeros((PRODUCTS, 1024), np.float32)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
@@ -223,14 +252,14 @@ class Scorer:
 
     def _score(self, texts: list[str | None]) -> np.ndarray:
         if len(self.seen) > KEPT_WORDS:
-            self.seen = {"": 0}  # the blank
+            self.seen = Numbers({"": 0})  # the blank
         seen = self.seen
         before = len(seen)
-        ids, first = lay_out([[seen.setdefault(w, len(seen)) for w in words_of(t)] for t in texts], 0)
+        ids, first = lay_out([seen.of(words_of(t)) for t in texts], 0)
         if len(seen) > before:
             if len(seen) > self.rows.shape[1]:
                 self.rows = np.hstack([self.rows, np.zeros((PRODUCTS, max(len(seen), 2 * self.rows.shape[1]) - self.rows.shape[1]), np.float32)])
-            fresh = np.array([pieces_of(w) for w in list(seen)[before:]], np.int64)
+            fresh = pieces_of(list(islice(reversed(seen), len(seen) - before))[::-1])
             self.rows[:, before : len(seen)] = self.model.products(fresh)
         pooled, _ = pool(self.rows, ids, first, self.model.bias)
         return sigmoid((pooled @ self.model.out).astype(np.float64) + self.model.prior)
@@ -266,21 +295,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[np
     """Folds, labels, word numbers and buckets of words of so many documents at a time, or of all."""
 
     def chunk():
-        pieces = np.fromiter((x for w in (*vocabulary, "") for x in pieces_of(w)), np.int32).reshape(len(vocabulary) + 1, -1)
+        pieces = pieces_of([*vocabulary, ""])
         pieces[-1] = BUCKETS
         return np.array(fold), np.array(y), ids, pieces
 
-    fold, y, ids, vocabulary, size = [], [], [], {}, 0
+    fold, y, ids, vocabulary, size = [], [], [], Numbers(), 0
     for b in batches:
         for f, label, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
             text = zlib.decompress(packed).decode()
             fold.append(f)
             y.append(label)
-            ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.split("\n")] if text else [], np.int32))
+            ids.append(vocabulary.of(text.split("\n") if text else []))
             size += len(ids[-1])
             if not whole and (len(ids) >= SHARD or size >= WORDS):
                 yield chunk()
-                fold, y, ids, vocabulary, size = [], [], [], {}, 0
+                fold, y, ids, vocabulary, size = [], [], [], Numbers(), 0
     if ids:
         yield chunk()
 
