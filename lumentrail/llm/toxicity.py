@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import islice
 from zlib import crc32
 
@@ -44,6 +45,10 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
+def split(packed: str) -> list[str]:
+    return packed.split("\n") if packed else []
+
+
 class Numbers(dict):
     """Numbers words in the order in which they are first asked for."""
 
@@ -55,6 +60,7 @@ class Numbers(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
+@lru_cache(1 << 17)
 def beginnings(start: str) -> list[int]:
     out = [crc32(b"^" + start[:n].encode()) % BUCKETS for n in BEGINNINGS if len(start) >= n]
     return out + [BUCKETS] * (len(BEGINNINGS) - len(out))
@@ -126,16 +132,17 @@ def pool(products: np.ndarray, ids: np.ndarray, first: np.ndarray, bias: np.ndar
     out = np.empty((len(n), len(ROWS)), np.float32)
     where = np.empty((len(n), len(ROWS)), np.int64) if places else None
     text = np.repeat(np.arange(len(n)), n) if places else None
+    after = [ids[o:] for o in range(GAP)]
     late = (first[1:, None] - np.arange(1, GAP)).ravel()
     for f, rows in enumerate(ROWS):
-        r = products[rows[0]][ids]
+        r = products[rows[0]].take(ids, mode="clip")
         for o, row in enumerate(rows[1:], 1):
-            r[:-o] += products[row][ids[o:]]
+            r[:-o] += products[row].take(after[o], mode="clip")
         r[late] = -np.inf
         best = np.maximum.reduceat(r, first[:-1])
         out[:, f] = best
         if places:
-            at = np.flatnonzero(r == best[text])[::-1]
+            at = np.flatnonzero(r == best.repeat(n))[::-1]
             where[text[at], f] = at
     return np.maximum(out + bias, 0), where
 
@@ -238,7 +245,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.seen, self.rows = model, Numbers({"": 0}), np.zeros((PRODUCTS, 1024), np.float32)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[str | None], words: Callable[[str | None], list[str]] = words_of) -> np.ndarray:
         out = np.empty(len(texts))
         lo = 0
         while lo < len(texts):  # as many texts as make up some 200,000 characters; a longer text is alone
@@ -246,16 +253,16 @@ class Scorer:
             while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= 200_000):
                 size += len(texts[hi] or "")
                 hi += 1
-            out[lo:hi] = self._score(texts[lo:hi])
+            out[lo:hi] = self._score([words(t) for t in texts[lo:hi]])
             lo = hi
         return out
 
-    def _score(self, texts: list[str | None]) -> np.ndarray:
+    def _score(self, texts: list[list[str]]) -> np.ndarray:
         if len(self.seen) > KEPT_WORDS:
             self.seen = Numbers({"": 0})  # the blank
         seen = self.seen
         before = len(seen)
-        ids, first = lay_out([seen.of(words_of(t)) for t in texts], 0)
+        ids, first = lay_out([seen.of(t) for t in texts], 0)
         if len(seen) > before:
             if len(seen) > self.rows.shape[1]:
                 self.rows = np.hstack([self.rows, np.zeros((PRODUCTS, max(len(seen), 2 * self.rows.shape[1]) - self.rows.shape[1]), np.float32)])
@@ -305,7 +312,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[np
             text = zlib.decompress(packed).decode()
             fold.append(f)
             y.append(label)
-            ids.append(vocabulary.of(text.split("\n") if text else []))
+            ids.append(vocabulary.of(split(text)))
             size += len(ids[-1])
             if not whole and (len(ids) >= SHARD or size >= WORDS):
                 yield chunk()
@@ -392,7 +399,7 @@ def _thresholds(data: DataFrame, models: list[Model]) -> dict[str | None, float]
             reached = np.zeros(len(texts), np.int32)
             for k, scorer in enumerate(scorers):
                 at = np.flatnonzero(fold == k)
-                reached[at] = np.searchsorted(grid, scorer.score([texts[i] for i in at]), side="right")
+                reached[at] = np.searchsorted(grid, scorer.score([texts[i] for i in at], split), side="right")
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(reached)], ["lang", "y", "reached"])
 
     by: dict[str | None, np.ndarray] = {}
