@@ -17,8 +17,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Texts are worked on in groups of about so many bytes (a longer text makes a group of its own).
-BLOCK_BYTES = 1 << 21
+#: Texts are worked on in groups of about so many bytes (a longer text makes a group of its own). Winnowing holds
+#: some 35 bytes for each of them, in every worker at once.
+BLOCK_BYTES = 1 << 18
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
@@ -198,6 +199,16 @@ def passages(seed=4):
     return texts + [texts[7], cycle, None, ""]
 
 
+def test_winnowing_many_texts_holds_little_memory():
+    rng = random.Random(4)
+    col = pa.array([" ".join(rng.choices(WORDS, k=500)) for _ in range(2000)])
+    tracemalloc.start()
+    found = [winnowed for _, _, data, off in W.blocks(*W.utf8(col)) for starts, ends, first in [W.spans(data, off)] for winnowed in linededup.winnow(W.word_hashes(data, starts, ends), first)[:1]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, found)) > 2000 and peak < 30e6
+
+
 def test_repeats_go_and_first_occurrences_stay(spark):
     texts = passages()
     out = {r.doc_id: (r.text, r.n) for r in linededup.delete_repeats(docs(spark, texts), removed_col="n").collect()}
