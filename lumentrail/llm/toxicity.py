@@ -2,8 +2,9 @@
 
 A word's embedding is the sum of hashed embeddings of the word and of its beginnings. Filters of widths
 1 to 3 slide over the words, the largest response of each filter in the whole text is kept, and a
-logistic layer scores these maxima. A convolution over summed embeddings is a sum of per-word products,
-so scoring looks up one row of products per word and never builds a matrix of embeddings.
+logistic layer scores these maxima. Words are found and hashed in numpy, on the code points of many texts laid end
+to end, and no table of words is kept: most words of a large corpus are rare, so that looking them up costs more
+than their products with the filters.
 
 Training takes every labelled document. They lie in shards by hash of the id; in each round every shard makes
 passes over its documents from the same parameters, and the changes are averaged, those of a row of embeddings by
@@ -14,11 +15,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import islice
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentrail.llm import words as W
 from lumentrail.llm.shared import checkpoint, text_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -37,41 +37,54 @@ SHARD, MOST_SHARDS, WORDS = 10_000, 64, 4_000_000
 FOLDS, SEED = 5, 7
 #: Over several shards, changes are averaged after so many passes. Rows of embeddings are summed in so many blocks.
 PASSES, BLOCKS = 2, 16
-#: Words whose products a scoring process keeps; beyond that it starts anew.
-KEPT_WORDS = 200_000
+#: Texts are hashed in groups of so many characters; a longer text is alone.
+CHARS = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-def split(packed: str) -> list[str]:
-    return packed.split("\n") if packed else []
-
-
-class Numbers(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """By code point, whether LETTERS takes it."""
+    out = np.zeros(0x110000, bool)
+    for m in LETTERS.finditer(np.arange(len(out), dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
+        out[m.start() : m.end()] = True
+    return out
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+def groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """The texts in lower case, as many at a time as make up some CHARS characters."""
+    group: list[str] = []
+    size = 0
+    for t in texts:
+        low = t.lower() if t else ""
+        if group and size + len(low) > CHARS:
+            yield group
+            group, size = [], 0
+        group.append(low)
+        size += len(low)
+    if group:
+        yield group
 
-@lru_cache(1 << 17)
-def beginnings(start: str) -> list[int]:
-    out = [crc32(b"^" + start[:n].encode()) % BUCKETS for n in BEGINNINGS if len(start) >= n]
-    return out + [BUCKETS] * (len(BEGINNINGS) - len(out))
 
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word of lower-cased texts and of its beginnings, and by text the number of its first word (and the end).
 
-def pieces_of(words: list[str]) -> np.ndarray:
-    """Buckets of each word and its beginnings; unused places point at the row of zeros."""
-    starts = Numbers()
-    at = starts.of([w[: BEGINNINGS[-1]] for w in words])
-    whole = np.fromiter((crc32(w.encode()) % BUCKETS for w in words), np.int32, len(words))
-    return np.hstack([whole[:, None], np.array([beginnings(x) for x in starts], np.int32).reshape(-1, len(BEGINNINGS))[at]])
+    The words are those of ``words_of``. Unused places point at the row of zeros.
+    """
+    code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.flatnonzero(np.diff(letters().take(code, mode="clip"), prepend=False))
+    starts, ends = edge[::2], edge[1::2]
+    first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    upto = [ends, *(np.minimum(starts + n, ends) for n in BEGINNINGS)]
+    h = W.word_hashes(code, np.tile(starts, len(upto)), np.concatenate(upto)).reshape(len(upto), -1)
+    h[0] >>= np.uint64(32)  # other bits than those of a beginning that is the whole word
+    pieces = (h & np.uint64(BUCKETS - 1)).astype(np.uint16)
+    for row, n in zip(pieces[1:], BEGINNINGS, strict=True):
+        row[ends - starts < n] = BUCKETS
+    return pieces.T, first
 
 
 def summed(embedding: np.ndarray, pieces: np.ndarray) -> np.ndarray:
@@ -95,6 +108,8 @@ def _rows() -> list[list[int]]:
 
 
 ROWS = _rows()
+FILTER_OF = np.array([f for _, f in sorted((row, f) for f, rows in enumerate(ROWS) for row in rows)])
+OFFSET_OF = np.array([o for _, o in sorted((row, o) for rows in ROWS for o, row in enumerate(rows))])
 #: After each text stand so many words without any response. Windows that begin at the first of them hold nothing
 #: else; those that begin later might reach the next text and don't count.
 GAP = max(WIDTHS)
@@ -109,10 +124,6 @@ class Model:
     prior: float
     thresholds: dict[str | None, float] = field(default_factory=dict)
 
-    def products(self, pieces: np.ndarray) -> np.ndarray:
-        """A column per word, a row per filter and offset."""
-        return self.filters.T @ summed(self.embedding, pieces).T
-
 
 def lay_out(parts: list, blank: int) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all texts, each followed by GAP blanks, and where each text begins (and the end)."""
@@ -123,21 +134,22 @@ def lay_out(parts: list, blank: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, first
 
 
-def pool(products: np.ndarray, ids: np.ndarray, first: np.ndarray, bias: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def pool(products: np.ndarray, ids: np.ndarray | None, first: np.ndarray, bias: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Per text and filter the largest response, at least 0, and, if asked for, where it is.
 
-    The blanks after a text respond with zeros, so a text without words responds with the bias.
+    The blanks after a text respond with zeros, so a text without words responds with the bias. Without ``ids`` the
+    columns of ``products`` are the words in their order.
     """
     n = np.diff(first)
     out = np.empty((len(n), len(ROWS)), np.float32)
     where = np.empty((len(n), len(ROWS)), np.int64) if places else None
     text = np.repeat(np.arange(len(n)), n) if places else None
-    after = [ids[o:] for o in range(GAP)]
+    after = [slice(o, None) if ids is None else ids[o:] for o in range(GAP)]
     late = (first[1:, None] - np.arange(1, GAP)).ravel()
     for f, rows in enumerate(ROWS):
-        r = products[rows[0]].take(ids, mode="clip")
+        r = products[rows[0]].copy() if ids is None else products[rows[0]].take(ids, mode="clip")
         for o, row in enumerate(rows[1:], 1):
-            r[:-o] += products[row].take(after[o], mode="clip")
+            r[:-o] += products[row][after[o]] if ids is None else products[row].take(after[o], mode="clip")
         r[late] = -np.inf
         best = np.maximum.reduceat(r, first[:-1])
         out[:, f] = best
@@ -180,30 +192,28 @@ class Learner:
             m.out[:] = 0
         self.epochs = max(6, min(40, 12_000 // max(n, 1))) if self.trains else 0
 
-    def learn(self, ids: list[np.ndarray], y: np.ndarray, pieces: np.ndarray, rng: np.random.Generator, epoch: int) -> None:
-        """One pass over texts of word numbers; ``pieces`` has the buckets of each word and, last, of the blank."""
+    def learn(self, ids: list[range], y: np.ndarray, pieces: np.ndarray, rng: np.random.Generator, epoch: int) -> None:
+        """One pass over texts that are ranges of rows of ``pieces``, which has the buckets of each word and, last, of the blank."""
         m, squares, blank = self.model, self.squares, len(pieces) - 1
         step = 0.08 * (1 - 0.8 * epoch / self.epochs)
         order = rng.permutation(len(y))
         self.docs += len(y)
         for lo in range(0, len(y), 32):
             batch = order[lo : lo + 32]
-            flat, first = lay_out([x[rng.random(len(x)) > 0.3] for x in (ids[i] for i in batch)], blank)
-            used, at = np.unique(flat, return_inverse=True)
-            emb = summed(m.embedding, pieces[used])
-            pooled, where = pool(m.filters.T @ emb.T, at, first, m.bias, places=True)
+            flat, first = lay_out([np.flatnonzero(rng.random(len(x)) > 0.3) + x.start for x in (ids[i] for i in batch)], blank)
+            emb = summed(m.embedding, pieces[flat])
+            pooled, where = pool(m.filters.T @ emb.T, None, first, m.bias, places=True)
             p = sigmoid(pooled @ m.out + m.prior)
             g = ((p - y[batch]) * self.weights[y[batch]] / len(batch)).astype(np.float32)
             d_out = g @ pooled + 1e-4 * m.out
             d_pool = g[:, None] * m.out[None, :] * (pooled > 0)
-            d_prod = np.zeros((PRODUCTS, len(used)), np.float32)
-            for f, rows in enumerate(ROWS):
-                for o, row in enumerate(rows):
-                    np.add.at(d_prod[row], at[np.minimum(where[:, f] + o, len(at) - 1)], d_pool[:, f])
-            hot = np.flatnonzero(d_prod.any(axis=0))
-            d_filters = emb[hot].T @ d_prod[:, hot].T + 1e-5 * m.filters
-            d_emb = d_prod[:, hot].T @ m.filters.T
-            flat = pieces[used[hot]].ravel()
+            d_rows = d_pool[:, FILTER_OF]
+            live = np.nonzero(d_rows)
+            hot, at = np.unique(np.minimum(where[:, FILTER_OF] + OFFSET_OF, len(flat) - 1)[live], return_inverse=True)
+            d_prod = np.bincount(live[1] * len(hot) + at, d_rows[live], PRODUCTS * len(hot)).reshape(PRODUCTS, -1).astype(np.float32)
+            d_filters = emb[hot].T @ d_prod.T + 1e-5 * m.filters
+            d_emb = d_prod.T @ m.filters.T
+            flat = pieces[flat[hot]].ravel().astype(np.int64)
             by = np.argsort(flat, kind="stable")
             begins = np.flatnonzero(np.diff(flat[by], prepend=-1))
             touched = flat[by[begins]]
@@ -240,36 +250,21 @@ class Learner:
 
 
 class Scorer:
-    """Scores batches of texts, keeping the products of the words that it has met."""
+    """Scores batches of texts."""
 
     def __init__(self, model: Model):
-        self.model, self.seen, self.rows = model, Numbers({"": 0}), np.zeros((PRODUCTS, 1024), np.float32)
-
-    def score(self, texts: list[str | None], words: Callable[[str | None], list[str]] = words_of) -> np.ndarray:
-        out = np.empty(len(texts))
-        lo = 0
-        while lo < len(texts):  # as many texts as make up some 200,000 characters; a longer text is alone
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= 200_000):
-                size += len(texts[hi] or "")
-                hi += 1
-            out[lo:hi] = self._score([words(t) for t in texts[lo:hi]])
-            lo = hi
-        return out
-
-    def _score(self, texts: list[list[str]]) -> np.ndarray:
-        if len(self.seen) > KEPT_WORDS:
-            self.seen = Numbers({"": 0})  # the blank
-        seen = self.seen
-        before = len(seen)
-        ids, first = lay_out([seen.of(t) for t in texts], 0)
-        if len(seen) > before:
-            if len(seen) > self.rows.shape[1]:
-                self.rows = np.hstack([self.rows, np.zeros((PRODUCTS, max(len(seen), 2 * self.rows.shape[1]) - self.rows.shape[1]), np.float32)])
-            fresh = pieces_of(list(islice(reversed(seen), len(seen) - before))[::-1])
-            self.rows[:, before : len(seen)] = self.model.products(fresh)
-        pooled, _ = pool(self.rows, ids, first, self.model.bias)
-        return sigmoid((pooled @ self.model.out).astype(np.float64) + self.model.prior)
+        self.model = model
+
+    def score(self, texts: Iterable[str | None]) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *map(self._score, groups(texts))])
+
+    def _score(self, texts: list[str]) -> np.ndarray:
+        m = self.model
+        found, first = hashed(texts)
+        pieces = np.full((len(found) + GAP * len(texts), found.shape[1]), BUCKETS, np.uint16)
+        pieces[np.arange(len(found)) + GAP * np.repeat(np.arange(len(texts)), np.diff(first))] = found
+        pooled, _ = pool(m.filters.T @ summed(m.embedding, pieces).T, None, first + GAP * np.arange(len(first)), m.bias)
+        return sigmoid((pooled @ m.out).astype(np.float64) + m.prior)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -298,26 +293,29 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return checkpoint(packed.select((F.col("h") % 2).cast("int").alias("fold"), "y", "lang", "words")), shards
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
-    """Folds, labels, word numbers and buckets of words of so many documents at a time, or of all."""
+def _chunks(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[range], np.ndarray]]:
+    """Folds, labels, ranges of words and their buckets of so many documents at a time, or of all."""
 
     def chunk():
-        pieces = pieces_of([*vocabulary, ""])
-        pieces[-1] = BUCKETS
-        return np.array(fold), np.array(y), ids, pieces
+        pieces = np.concatenate([*parts, np.full((1, 1 + len(BEGINNINGS)), BUCKETS, np.uint16)])
+        parts.clear()
+        at = np.cumsum([0, *sizes])
+        return np.array(fold), np.array(y), [range(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pieces
 
-    fold, y, ids, vocabulary, size = [], [], [], Numbers(), 0
+    fold, y, sizes, parts = [], [], [], []
     for b in batches:
-        for f, label, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-            text = zlib.decompress(packed).decode()
-            fold.append(f)
-            y.append(label)
-            ids.append(vocabulary.of(split(text)))
-            size += len(ids[-1])
-            if not whole and (len(ids) >= SHARD or size >= WORDS):
+        lo, folds, labels = 0, b.column(0).to_pylist(), b.column(1).to_pylist()
+        for group in groups(zlib.decompress(x).decode() for x in b.column(3).to_pylist()):
+            pieces, first = hashed(group)
+            fold += folds[lo : lo + len(group)]
+            y += labels[lo : lo + len(group)]
+            sizes += np.diff(first).tolist()
+            parts.append(pieces)
+            lo += len(group)
+            if not whole and (len(y) >= SHARD or sum(map(len, parts)) >= WORDS):
                 yield chunk()
-                fold, y, ids, vocabulary, size = [], [], [], Numbers(), 0
-    if ids:
+                fold, y, sizes, parts = [], [], [], []
+    if y:
         yield chunk()
 
 
@@ -395,11 +393,11 @@ def _thresholds(data: DataFrame, models: list[Model]) -> dict[str | None, float]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(m) for m in models]
         for b in batches:
-            fold, texts = b.column(0).to_numpy(), [zlib.decompress(x).decode() for x in b.column(3).to_pylist()]
-            reached = np.zeros(len(texts), np.int32)
+            fold, packed = b.column(0).to_numpy(), b.column(3).to_pylist()
+            reached = np.zeros(len(packed), np.int32)
             for k, scorer in enumerate(scorers):
                 at = np.flatnonzero(fold == k)
-                reached[at] = np.searchsorted(grid, scorer.score([texts[i] for i in at], split), side="right")
+                reached[at] = np.searchsorted(grid, scorer.score(zlib.decompress(packed[i]).decode() for i in at), side="right")
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(reached)], ["lang", "y", "reached"])
 
     by: dict[str | None, np.ndarray] = {}

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 from zlib import crc32
@@ -470,3 +471,37 @@ def test_the_pool_equals_a_loop():
         for f, rows in enumerate(toxicity.ROWS):
             r = [sum(table[row, padded[k + o]] for o, row in enumerate(rows)) for k in range(len(p) + 1)]
             assert got[i, f] == pytest.approx(max(0, max(r) + bias[f]), abs=1e-5)
+
+
+def test_hashed_words_are_those_of_the_pattern():
+    texts = [(t or "").lower() for t in ODD] + ["", "".join(map(chr, [*range(0x100), *range(0x370, 0x3000), 0xFF21, 0x1F600, 0x20000, 0x10FFFF])).lower(), "snake_case x2y ½ ² a", ""]
+    pieces, first = toxicity.hashed(texts)
+    assert np.diff(first).tolist() == [len(toxicity.words_of(t)) for t in texts]
+    words = [w for t in texts for w in toxicity.words_of(t)]
+    for i, n in enumerate((99, *toxicity.BEGINNINGS)):
+        by = {}
+        for w, bucket in zip(words, pieces[:, i].tolist(), strict=True):
+            assert by.setdefault(w[:n], bucket) == bucket
+            assert (bucket == toxicity.BUCKETS) == (n < 99 and len(w) < n)
+    assert len({*map(tuple, pieces.tolist())}) > 0.99 * len(set(words))
+    assert toxicity.hashed([])[0].shape == (0, pieces.shape[1]) and toxicity.hashed([])[1].tolist() == [0]
+
+
+def test_scoring_rare_words_is_quick_and_keeps_none():
+    """Most words of a large corpus are rare, as are these: 400,000 words, hardly one of them twice."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=7)) for _ in range(400)) for _ in range(1000)]
+    scorer = toxicity.Scorer(toxicity.Learner(10, 5).model)
+    scorer.score(texts[:100])
+
+    def seconds(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    assert min(seconds(lambda: scorer.score(texts)) for _ in range(3)) < 3 * min(seconds(lambda: [toxicity.words_of(t) for t in texts]) for _ in range(3))
+    tracemalloc.start()
+    scorer.score(texts)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 1e6 and peak < 40e6
