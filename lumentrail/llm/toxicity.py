@@ -37,8 +37,8 @@ SHARD, MOST_SHARDS, WORDS = 10_000, 64, 4_000_000
 FOLDS, SEED = 5, 7
 #: Over several shards, changes are averaged after so many passes. Rows of embeddings are summed in so many blocks.
 PASSES, BLOCKS = 2, 16
-#: Texts are hashed in groups of so many characters; a longer text is alone.
-CHARS = 100_000
+#: Texts are hashed in groups of so many characters; a longer text is alone. Of its words, so many are in hand at a time.
+CHARS, STEP = 100_000, 50_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -78,12 +78,16 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(letters().take(code, mode="clip"), prepend=False))
     starts, ends = edge[::2], edge[1::2]
     first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-    upto = [ends, *(np.minimum(starts + n, ends) for n in BEGINNINGS)]
-    h = W.word_hashes(code, np.tile(starts, len(upto)), np.concatenate(upto)).reshape(len(upto), -1)
-    h[0] >>= np.uint64(32)  # other bits than those of a beginning that is the whole word
-    pieces = (h & np.uint64(BUCKETS - 1)).astype(np.uint16)
-    for row, n in zip(pieces[1:], BEGINNINGS, strict=True):
-        row[ends - starts < n] = BUCKETS
+    pieces = np.empty((1 + len(BEGINNINGS), len(starts)), np.uint16)
+    for lo in range(0, len(starts), STEP):
+        a, b = (x[lo : lo + STEP] - starts[lo] for x in (starts, ends))
+        upto = [b, *(np.minimum(a + n, b) for n in BEGINNINGS)]
+        h = W.word_hashes(code[starts[lo] : starts[lo] + b[-1]], np.tile(a, len(upto)), np.concatenate(upto)).reshape(len(upto), -1)
+        h[0] >>= np.uint64(32)  # other bits than those of a beginning that is the whole word
+        part = pieces[:, lo : lo + STEP]
+        part[:] = h & np.uint64(BUCKETS - 1)
+        for row, n in zip(part[1:], BEGINNINGS, strict=True):
+            row[b - a < n] = BUCKETS
     return pieces.T, first
 
 
@@ -159,6 +163,27 @@ def pool(products: np.ndarray, ids: np.ndarray | None, first: np.ndarray, bias:
     return np.maximum(out + bias, 0), where
 
 
+def respond(model: Model, pieces: np.ndarray, first: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """``pool`` over the words with these buckets, with the products of some STEP words at a time."""
+    out: list[np.ndarray] = []
+    where: list[np.ndarray] = []
+    t = 0
+    while t < len(first) - 1:
+        u = max(t + 1, int(np.searchsorted(first, first[t] + STEP, side="right")) - 1)
+        for lo in range(first[t], first[u] - GAP + 1, STEP):  # a longer text goes in parts, which overlap by what a window holds
+            hi = min(lo + STEP + GAP - 1, first[u])
+            best, at = pool(model.filters.T @ summed(model.embedding, pieces[lo:hi]).T, None, np.clip(first[t : u + 1] - lo, 0, hi - lo), model.bias, places)
+            if lo == first[t]:
+                out.append(best)
+                where += [at + lo] if places else []
+            else:
+                if places:
+                    where[-1] = np.where(best > out[-1], at + lo, where[-1])
+                out[-1] = np.maximum(best, out[-1])
+        t = u
+    return np.concatenate(out), np.concatenate(where) if places else None
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -201,8 +226,7 @@ class Learner:
         for lo in range(0, len(y), 32):
             batch = order[lo : lo + 32]
             flat, first = lay_out([np.flatnonzero(rng.random(len(x)) > 0.3) + x.start for x in (ids[i] for i in batch)], blank)
-            emb = summed(m.embedding, pieces[flat])
-            pooled, where = pool(m.filters.T @ emb.T, None, first, m.bias, places=True)
+            pooled, where = respond(m, pieces[flat], first, places=True)
             p = sigmoid(pooled @ m.out + m.prior)
             g = ((p - y[batch]) * self.weights[y[batch]] / len(batch)).astype(np.float32)
             d_out = g @ pooled + 1e-4 * m.out
@@ -211,7 +235,7 @@ class Learner:
             live = np.nonzero(d_rows)
             hot, at = np.unique(np.minimum(where[:, FILTER_OF] + OFFSET_OF, len(flat) - 1)[live], return_inverse=True)
             d_prod = np.bincount(live[1] * len(hot) + at, d_rows[live], PRODUCTS * len(hot)).reshape(PRODUCTS, -1).astype(np.float32)
-            d_filters = emb[hot].T @ d_prod.T + 1e-5 * m.filters
+            d_filters = summed(m.embedding, pieces[flat[hot]]).T @ d_prod.T + 1e-5 * m.filters
             d_emb = d_prod.T @ m.filters.T
             flat = pieces[flat[hot]].ravel().astype(np.int64)
             by = np.argsort(flat, kind="stable")
@@ -263,7 +287,7 @@ class Scorer:
         found, first = hashed(texts)
         pieces = np.full((len(found) + GAP * len(texts), found.shape[1]), BUCKETS, np.uint16)
         pieces[np.arange(len(found)) + GAP * np.repeat(np.arange(len(texts)), np.diff(first))] = found
-        pooled, _ = pool(m.filters.T @ summed(m.embedding, pieces).T, None, first + GAP * np.arange(len(first)), m.bias)
+        pooled, _ = respond(m, pieces, first + GAP * np.arange(len(first)))
         return sigmoid((pooled @ m.out).astype(np.float64) + m.prior)
 
 

@@ -505,3 +505,27 @@ def test_scoring_rare_words_is_quick_and_keeps_none():
     held, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert held < 1e6 and peak < 40e6
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(1, 9))) for _ in range(n)) for n in (0, 1, 2, 7, 300, 40, 999, 3)]
+    model = toxicity.Learner(10, 5).model
+    whole = toxicity.Scorer(model).score(texts)
+    pieces, first = toxicity.hashed(texts)
+    flat, at = toxicity.lay_out([np.arange(a, b) for a, b in zip(first[:-1], first[1:], strict=True)], len(pieces))
+    padded = np.vstack([pieces, np.full((1, pieces.shape[1]), toxicity.BUCKETS, np.uint16)])[flat]
+    pooled, where = toxicity.respond(model, padded, at, places=True)
+    for step in (1, 2, 10, 64):
+        monkeypatch.setattr(toxicity, "STEP", step)
+        assert (toxicity.hashed(texts)[0] == pieces).all()
+        assert toxicity.Scorer(model).score(texts) == pytest.approx(whole, abs=1e-6)
+        got, there = toxicity.respond(model, padded, at, places=True)
+        assert got == pytest.approx(pooled, abs=1e-5) and (there == where)[got > 0].mean() > 0.99
+    monkeypatch.undo()
+    long = " ".join(rng.choices(WORDS, k=100)) + " " + "many words of one text " * 400_000
+    tracemalloc.start()
+    toxicity.Scorer(model).score([long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * len(long)
