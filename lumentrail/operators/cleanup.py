@@ -7,7 +7,11 @@ the residual, so that no nested loop is planned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import product
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -15,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumentrail.operators.graph import components
+from lumentrail.functions.sky import is_valid
+from lumentrail.operators.graph import components, materialised
 
 
 def bins(width: float, max_dt: float) -> list[Column]:
@@ -61,27 +66,124 @@ def dimensions(kind: str) -> int:
     return len(FEATURES[kind]([0.0, 0.0, 0.0], 1.0))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores: one small file is read by one task, which would do all that follows."""
+    return df.repartition(2 * max(2, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _places(points: DataFrame, dims: int, *aggs: Column) -> DataFrame:
+    """The different positions of points ``(id, f)`` as columns ``f0, f1, ...``, with aggregates of their points.
+
+    Points without a position in every dimension have no neighbours and no place.
+    """
+    f = [F.col("f")[i].alias(f"f{i}") for i in range(dims)]
+    there = [is_valid(F.col(f"f{i}")) for i in range(dims)]
+    return points.select("*", *f).where(reduce(and_, there)).groupBy(*[f"f{i}" for i in range(dims)]).agg(*aggs)
+
+
+def _near(home: DataFrame, other: DataFrame, eps: float, dims: int) -> DataFrame:
+    """Joins places ``(f0, f1, ..., more)`` with those of ``other`` within ``eps``; more columns must differ in name.
+
+    Cells are of the first three dimensions. ``other`` is sent to 9 or 27 cells, which the planner doesn't see, so it's
+    kept from being broadcast.
+    """
+    keys = [f"c{i}" for i in range(min(dims, 3))]
+    cell = lambda i, d=0: (F.floor(F.col(f"f{i}") / eps) + d).cast("long")
+    around = lambda i: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: cell(i, d))).alias(f"c{i}")
+    a = _spread(home).select("*", *[cell(i).alias(k) for i, k in enumerate(keys)])
+    b = _spread(other)
+    for i in range(len(keys)):
+        b = b.select("*", around(i))
+    b = b.withColumnsRenamed({f"f{i}": f"g{i}" for i in range(dims)})
+    d2 = sum((F.col(f"f{i}") - F.col(f"g{i}")) * (F.col(f"f{i}") - F.col(f"g{i}")) for i in range(dims))
+    return a.join(b.hint("merge"), keys).where(d2 <= eps * eps).drop(*keys)
+
+
 def neighbours(points: DataFrame, eps: float, dims: int) -> DataFrame:
     """``(a, b)``: ids of all pairs of points ``(id, f)`` within ``eps``, in both directions, without equal ids.
 
-    ``f`` has ``dims`` elements; cells are of the first two.
+    ``f`` has ``dims`` elements. Distances are of places, each once; the ids of two places are paired where they are
+    found, so that pairs, whose number grows with the square of the density, are never shuffled.
+    """
+    at = _places(points, dims, F.collect_list("id").alias("ids"))
+    pairs = _near(at.withColumnRenamed("ids", "as"), at.withColumnRenamed("ids", "bs"), eps, dims)
+    return pairs.select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b")).where("a != b")
+
+
+def _linked(f: np.ndarray, eps: float, chunk: int = 1 << 21) -> np.ndarray:
+    """For each point the first one that it's linked with, by steps of at most ``eps``; pairs are made in chunks."""
+    first = np.arange(len(f))
+    cell = np.floor(f / eps)
+    cell = (cell - cell.min(axis=0)).astype(np.int64) + 1
+    size = [int(n) for n in cell.max(axis=0) + 2]
+    used = max(k for k in range(1, len(size) + 1) if k == 1 or math.prod(size[:k]) < 1 << 62)
+    scale = np.array([math.prod(size[i + 1 : used]) for i in range(used)], np.int64)
+    code = cell[:, :used] @ scale
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    for step in product((0, 1, -1), repeat=used):
+        if step < (0,) * used:  # the other direction of a step
+            continue
+        lo, hi = (np.searchsorted(code, code + step @ scale, side) for side in ("left", "right"))
+        if not any(step):
+            lo = np.arange(1, len(code) + 1)
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(code):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
+            n = hi[at:to] - lo[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = np.arange(len(i)) + np.repeat(lo[at:to] - np.cumsum(n) + n, n)
+            i, j, at = order[i], order[j], to
+            apart = first[i] != first[j]
+            i, j = i[apart], j[apart]
+            near = ((f[i] - f[j]) ** 2).sum(axis=1) <= eps * eps
+            i, j = i[near], j[near]
+            while len(i):
+                a, b = first[i], first[j]
+                np.minimum.at(first, np.maximum(a, b), np.minimum(a, b))
+                while ((up := first[first]) != first).any():
+                    first = up
+                apart = first[i] != first[j]
+                i, j = i[apart], j[apart]
+    return first
+
+
+def _stars(places: DataFrame, eps: float, dims: int) -> DataFrame:
+    """Edges ``(u, v)`` between the nodes of places ``(node, f0, f1, ...)`` that join the same as all pairs within ``eps``.
+
+    The first two dimensions are cut into blocks four times as wide as ``eps``, each with what lies within ``eps`` of it,
+    so every pair is in a block. A task links a block and returns an edge for each place: as many edges as places, however
+    dense they lie.
     """
-    cell = lambda i, d=0: (F.floor(F.col("f")[i] / eps) + d).cast("long")
-    home = points.select(F.col("id").alias("a"), F.col("f").alias("fa"), cell(0).alias("c0"), cell(1).alias("c1"))
-    shift = F.array(*map(F.lit, (-1, 0, 1)))
-    near = points.select("id", "f", F.explode(F.transform(shift, lambda d: cell(0) + d)).alias("c0")).select(F.col("id").alias("b"), F.col("f").alias("fb"), "c0", F.explode(F.transform(shift, lambda d: (F.floor(F.col("f")[1] / eps) + d).cast("long"))).alias("c1"))
-    d2 = sum((F.col("fa")[i] - F.col("fb")[i]) * (F.col("fa")[i] - F.col("fb")[i]) for i in range(dims))
-    return home.join(near, ["c0", "c1"]).where((F.col("a") != F.col("b")) & (d2 <= eps * eps)).select("a", "b")
+    wide, reach = 4 * eps, eps * (1 + 1e-9)
+    block = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / wide), F.floor((F.col(c) + reach) / wide)))
+    cut = places.withColumn("k0", block("f0")).withColumn("k1", block("f1")) if dims > 1 else places.withColumn("k0", block("f0")).withColumn("k1", F.lit(0))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        node = pdf["node"].to_numpy()
+        first = _linked(pdf[[f"f{i}" for i in range(dims)]].to_numpy(float), eps)
+        other = first != np.arange(len(first))
+        return pd.DataFrame({"u": node[first[other]], "v": node[other]})
+
+    n = 4 * max(2, places.sparkSession.sparkContext.defaultParallelism)
+    return cut.repartition(n, "k0", "k1").groupBy("k0", "k1").applyInPandas(link, "u long, v long")
 
 
 def clustered(trajectories: DataFrame, kind: str, eps: float, times: tuple[float, float, float] = (0.0, 0.0, 0.0), v_scale: float = 1.0) -> DataFrame:
     """Adds ``cluster``, the least id of the component of points linked within ``eps``.
 
-    This is DBSCAN with clusters from one point on. The linking goes by stars, see ``graph.components``.
+    This is DBSCAN with clusters from one point on. Points at one place are one node, and the linking within blocks is
+    left to their tasks, see ``_stars``; blocks are joined by stars, see ``graph.components``.
     """
+    dims = dimensions(kind)
     points = with_features(trajectories, kind, times, v_scale)
-    of = components(neighbours(points, eps, dimensions(kind)).where("a > b").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return trajectories.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("root", "id")).drop("root")
+    places = materialised(_places(points.select("id", "f"), dims, F.min("id").alias("node")))
+    of = components(_stars(places, eps, dims))
+    roots = places.join(of, "node", "left").select(*[F.col(f"f{i}").alias(f"__f{i}") for i in range(dims)], F.coalesce("root", "node").alias("cluster"))
+    same = reduce(and_, [F.col("f")[i] == F.col(f"__f{i}") for i in range(dims)])
+    return points.join(roots, same, "left").select(*trajectories.columns, F.coalesce("cluster", "id").alias("cluster"))
 
 
 def best_of_cluster(trajectories: DataFrame, kind: str, eps: float, times: tuple[float, float, float] = (0.0, 0.0, 0.0), v_scale: float = 1.0) -> DataFrame:
@@ -94,14 +196,18 @@ def best_of_cluster(trajectories: DataFrame, kind: str, eps: float, times: tuple
 def sweep(trajectories: DataFrame, kind: str, eps: float, times: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """Keeps a trajectory if none within ``eps`` is better; of equal ones within ``eps``, the first by id.
 
-    The second step walks groups of equal likelihood that are linked, which one task can hold as long as
+    At one place only the best, the first of equal ones, can stay, so places are compared. Trajectories without a
+    likelihood or a position are nobody's neighbours and stay. The second step walks groups of equal likelihood that are linked, which one task can hold as long as
     exact ties are few.
     """
-    points = with_features(trajectories, kind, times).select("id", "lh", "f")
-    pairs = neighbours(points, eps, dimensions(kind)).join(points.select(F.col("id").alias("a"), F.col("lh").alias("la")), "a").join(points.select(F.col("id").alias("b"), F.col("lh").alias("lb")), "b")
-    beaten = pairs.where("lb > la").select(F.col("a").alias("id")).distinct()
-    top = trajectories.join(beaten, "id", "left_anti")
-    ties = pairs.where("la = lb and a > b").join(beaten.select(F.col("id").alias("a")), "a", "left_anti").join(beaten.select(F.col("id").alias("b")), "b", "left_anti").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    dims = dimensions(kind)
+    points = with_features(trajectories, kind, times)
+    best = F.max(F.struct("lh", (-F.col("id")).alias("nid"))).alias("best")
+    at = _places(points.where("lh is not null").select("id", "lh", "f"), dims, best).select(*[f"f{i}" for i in range(dims)], (-F.col("best.nid")).alias("id"), F.col("best.lh").alias("lh"))
+    at = materialised(at)
+    beaten = _near(at, at.withColumnRenamed("lh", "lb").drop("id"), eps, dims).where("lb > lh").select("id").distinct()
+    top = materialised(at.join(beaten, "id", "left_anti"))
+    ties = materialised(_near(top, top.withColumnsRenamed({"id": "b", "lh": "lb"}), eps, dims).where("lh = lb and id > b").select(F.col("id").alias("u"), F.col("b").alias("v")))
     groups = components(ties).select(F.col("node").alias("u"), "root")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,7 +225,9 @@ def sweep(trajectories: DataFrame, kind: str, eps: float, times: tuple[float, fl
         return pd.DataFrame({"id": np.array(out, np.int64)})
 
     lost = ties.join(groups, "u").groupBy("root").applyInPandas(walk, "id long")
-    return top.join(lost, "id", "left_anti")
+    kept = top.select("id").join(lost, "id", "left_anti")
+    free = points.where(~reduce(and_, [is_valid(F.col("f")[i]) for i in range(dims)], F.col("lh").isNotNull())).select(*trajectories.columns)
+    return trajectories.join(kept, "id", "left_semi").unionAll(free)
 
 
 def apply_clustering(trajectories: DataFrame, kind: str, eps: float, times: tuple[float, float, float], v_scale: float = 1.0) -> DataFrame:

@@ -126,6 +126,29 @@ def test_sweep_with_ties(spark, seed):
     assert kept(cleanup.sweep(frame(spark, rows), "nn_start", 6.0)) == brute_sweep(rows, 6.0)
 
 
+def crowded(seed, n=120):
+    """Rows of which many share a place, a few without one, and ids in no order."""
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(9), rng.randrange(9), rng.randrange(3) / 2, rng.randrange(3) / 2, float(rng.randrange(50))) for i in rng.sample(range(1000), n)]
+    return rows + [(2000, None, 3, 0.0, 0.0, 9.0), (2001, 3, 3, float("nan"), 0.0, 9.0), (2002, 3, 3, float("nan"), 0.0, 9.0)]
+
+
+def linked_pairs(rows, eps):
+    return {(a[0], b[0]) for a, b in itertools.permutations(rows, 2) if None not in a + b and math.dist(a[1:5], b[1:5]) <= eps}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_of_crowded_places(spark):
+    """All pairs, also at one place; no side is broadcast, however small it seems before it is sent to several cells."""
+    rows = crowded(5)
+    pairs = cleanup.neighbours(cleanup.with_features(frame(spark, rows), "all"), 1.2, 4)
+    assert "Broadcast" not in plan_of(pairs)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(linked_pairs(rows, 1.2))
+
+
 def test_line_clusters_keep_the_best_of_a_line(spark):
     rows = [(0, 0, 0, 1.0, 0.0, 9.0), (1, 10, 1, 1.0, 0.0, 5.0), (2, 0, 50, 1.0, 0.0, 7.0)]
     assert kept(cleanup.predictive_lines(frame(spark, rows), 4.0, 2, 60.0)) == [0]
