@@ -149,6 +149,22 @@ def test_neighbours_of_crowded_places(spark):
     assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(linked_pairs(rows, 1.2))
 
 
+@pytest.mark.parametrize("kind", ["all", "start_position"])
+def test_clusters_of_crowded_places(spark, kind):
+    """Clusters against brute force; the edges that are joined are no more than places in blocks, however many pairs."""
+    rows, eps = crowded(6), 0.8 if kind == "start_position" else 1.0
+    flat = [r if kind == "all" else (*r[:3], r[3] * 0, r[4] * 0, r[5]) for r in rows]
+    of = {r[0]: r[0] for r in rows}
+    pairs = linked_pairs(flat, eps)
+    while step := {(a, of[b]) for a, b in pairs if of[b] < of[a]}:
+        for a, root in step:
+            of[a] = min(of[a], root)
+    got = cleanup.clustered(frame(spark, rows), kind, eps)
+    assert {r.id: r.cluster for r in got.collect()} == of
+    places = cleanup._places(cleanup.with_features(frame(spark, rows * 9), kind), cleanup.dimensions(kind), F.min("id").alias("node"))
+    assert places.count() == len({r[1:5] for r in flat if None not in r and not math.isnan(r[3])})
+
+
 def test_line_clusters_keep_the_best_of_a_line(spark):
     rows = [(0, 0, 0, 1.0, 0.0, 9.0), (1, 10, 1, 1.0, 0.0, 5.0), (2, 0, 50, 1.0, 0.0, 7.0)]
     assert kept(cleanup.predictive_lines(frame(spark, rows), 4.0, 2, 60.0)) == [0]
