@@ -165,6 +165,17 @@ def test_clusters_of_crowded_places(spark, kind):
     assert places.count() == len({r[1:5] for r in flat if None not in r and not math.isnan(r[3])})
 
 
+def test_best_of_crowded_clusters(spark):
+    """As the clusters; the best of each, the least id of equal ones, among points that share places."""
+    rows = crowded(7)
+    of = {r.id: r.cluster for r in cleanup.clustered(frame(spark, rows), "pos_vel", 1.0).collect()}
+    best = {}
+    for r in rows:
+        best[of[r[0]]] = max(best.get(of[r[0]], (-1, 0)), (r[5], -r[0]))
+    got = cleanup.apply_clustering(frame(spark, rows), "pos_vel", 1.0, (0.0, 1.0, 2.0))
+    assert kept(got) == sorted(-i for _, i in best.values())
+
+
 def test_line_clusters_keep_the_best_of_a_line(spark):
     rows = [(0, 0, 0, 1.0, 0.0, 9.0), (1, 10, 1, 1.0, 0.0, 5.0), (2, 0, 50, 1.0, 0.0, 7.0)]
     assert kept(cleanup.predictive_lines(frame(spark, rows), 4.0, 2, 60.0)) == [0]
