@@ -176,6 +176,23 @@ def test_best_of_crowded_clusters(spark):
     assert kept(got) == sorted(-i for _, i in best.values())
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_sweep_of_crowded_places(spark, seed):
+    """Many ties at one place and beside it; without a likelihood or a place, a trajectory stays."""
+    rows = [(*r[:5], float(r[5] % 4)) for r in crowded(seed)]
+    eps = 1.6
+    near = linked_pairs([(i, x, y, x + 2 * vx, y + 2 * vy) if x is not None else (i, x, y, vx, vy) for i, x, y, vx, vy, _ in rows], eps)
+    lh = {r[0]: r[5] for r in rows}
+    top = [i for i in sorted(lh) if not any(a == i and lh[b] > lh[i] for a, b in near)]
+    out = []
+    for i in top:
+        if not any((i, j) in near for j in out):
+            out.append(i)
+    rows.append((3000, 3, 3, 0.0, 0.0, None))
+    t = spark.createDataFrame(rows, "id long, x int, y int, vx double, vy double, lh double")
+    assert kept(cleanup.sweep(t, "nn_start_end", eps, (0.0, 1.0, 2.0))) == sorted([*out, 3000])
+
+
 def test_line_clusters_keep_the_best_of_a_line(spark):
     rows = [(0, 0, 0, 1.0, 0.0, 9.0), (1, 10, 1, 1.0, 0.0, 5.0), (2, 0, 50, 1.0, 0.0, 7.0)]
     assert kept(cleanup.predictive_lines(frame(spark, rows), 4.0, 2, 60.0)) == [0]
