@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lumentrail.functions.sky import is_valid
-from lumentrail.operators.graph import components, materialised
+from lumentrail.operators.graph import components, materialised, spread
 
 
 def bins(width: float, max_dt: float) -> list[Column]:
@@ -66,11 +66,6 @@ def dimensions(kind: str) -> int:
     return len(FEATURES[kind]([0.0, 0.0, 0.0], 1.0))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """The rows dealt over all cores: one small file is read by one task, which would do all that follows."""
-    return df.repartition(2 * max(2, df.sparkSession.sparkContext.defaultParallelism))
-
-
 def _places(points: DataFrame, dims: int, *aggs: Column) -> DataFrame:
     """The different positions of points ``(id, f)`` as columns ``f0, f1, ...``, with aggregates of their points.
 
@@ -90,8 +85,8 @@ def _near(home: DataFrame, other: DataFrame, eps: float, dims: int) -> DataFrame
     keys = [f"c{i}" for i in range(min(dims, 3))]
     cell = lambda i, d=0: (F.floor(F.col(f"f{i}") / eps) + d).cast("long")
     around = lambda i: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: cell(i, d))).alias(f"c{i}")
-    a = _spread(home).select("*", *[cell(i).alias(k) for i, k in enumerate(keys)])
-    b = _spread(other)
+    a = spread(home).select("*", *[cell(i).alias(k) for i, k in enumerate(keys)])
+    b = spread(other)
     for i in range(len(keys)):
         b = b.select("*", around(i))
     b = b.withColumnsRenamed({f"f{i}": f"g{i}" for i in range(dims)})

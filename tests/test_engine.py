@@ -248,6 +248,20 @@ def test_nearest_trajectories_look_at_all_other_rows(spark):
     assert got == best
 
 
+def test_nearest_trajectories_of_crowded_places(spark):
+    """Against brute force, with shared places, far ones and none; no query is compared with all rows in one plan."""
+    rows = crowded(8) + [(3000, 90000, -7, 5.0, 0.0, 1.0)]
+    t = frame(spark, rows)
+    q = t.where("id % 3 = 0")
+    got = match.nearest_trajectory(q, t, [0.0, 2.0])
+    assert "NestedLoop" not in plan_of(got)
+    p = pd.DataFrame([r[:5] for r in rows if None not in r and not math.isnan(sum(r[1:5]))], columns=["id", "x", "y", "vx", "vy"]).sort_values("id", ignore_index=True)
+    cost = mean_distances(p, p, [0.0, 2.0]).round(9)
+    np.fill_diagonal(cost, np.inf)
+    best = {int(p.id[i]): (int(p.id[cost[i].argmin()]), cost[i].min()) for i in np.flatnonzero(p.id % 3 == 0)}
+    assert 3000 in best and {r.query_id: (r.id, r.distance) for r in got.collect()} == best
+
+
 def test_nearest_time_prefers_the_earlier(spark):
     left = spark.createDataFrame([(1, 10.0), (2, 10.25), (3, 20.0)], "event_id long, mjd double")
     times = spark.createDataFrame([(0, 9.75), (1, 10.25)], "time_id long, mjd double")
