@@ -305,6 +305,30 @@ def test_sky_match_wraps_around(spark):
     assert got == {(1, "a"), (2, "b")}
 
 
+def test_sky_match_against_brute_force(spark):
+    """Around poles and wraps; declinations beyond a pole, as far copies of the customers have, stand for other places."""
+    rng = np.random.default_rng(1)
+
+    def places(n):
+        dec = rng.choice([89.5, -89.5, 90, 0, 30, 100, 200, -100, 451, 1080], n) + rng.normal(0, 0.6, n)
+        return pd.DataFrame({"i": range(n), "id": 1, "mjd": rng.uniform(0, 1.2, n), "ra": rng.choice([0, 360, 180, -3], n) + rng.normal(0, 1.5, n), "dec": dec})
+
+    o, c = places(400), places(400).rename(columns={"i": "name"})
+    (r1, d1), (r2, d2) = (np.radians(p[["ra", "dec"]].to_numpy().T) for p in (o, c))
+    h = np.sin((d2 - d1[:, None]) / 2) ** 2 + np.cos(d1)[:, None] * np.cos(d2) * np.sin((r2 - r1[:, None]) / 2) ** 2
+    apart, gap = np.degrees(2 * np.arcsin(np.sqrt(h.clip(0, 1)))), np.abs(c.mjd.to_numpy() - o.mjd.to_numpy()[:, None])
+    for degrees, days in ((0.5, 0.3), (2.0, 0.1)):
+        got = match.on_sky(spark.createDataFrame(o), spark.createDataFrame(c), degrees, days)
+        assert sorted((r.i, r.name) for r in got.select("i", "name").collect()) == [tuple(map(int, p)) for p in np.argwhere((apart <= degrees) & (gap <= days))]
+
+
+def test_sky_match_sends_a_catalogue_row_to_one_cell(spark):
+    obs = spark.createDataFrame([(1, 0, 5.0, 10.0, 3.0)], "id long, i long, mjd double, ra double, dec double")
+    cat = spark.createDataFrame([("a", 5.0, 10.0, 3.0)], "name string, mjd double, ra double, dec double")
+    pairs = match.on_sky(obs, cat, 0.001, 0.1).select("id", "name")
+    assert plan_of(pairs).count("Generate explode") == 3 and pairs.count() == 1
+
+
 def test_fit_returns_the_line(spark):
     o = spark.createDataFrame([(1, t / 4, 10 + 3 * t / 4 + 0.5, 20 - 2 * t / 4 + 0.5) for t in range(8)], "id long, zt double, x double, y double")
     line = match.fit_lines(o)
