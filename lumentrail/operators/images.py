@@ -7,6 +7,7 @@ var isn't finite.
 from __future__ import annotations
 
 import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -194,3 +195,37 @@ def reprojected(pixels: DataFrame, dx: float, dy: float, width: int, height: int
 
     rays = corner(0, 0).union(corner(0, 1)).union(corner(1, 0)).union(corner(1, 1)).where((F.col("w") > 0) & F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
     return rays.groupBy("t", "mjd", "zt", "y", "x").agg((F.sum("sci") / F.sum("w")).alias("sci"), (F.sum("var") / F.sum("w")).alias("var"), F.sum("w").alias("w")).where("w >= 0.8").drop("w")
+
+
+#: A stack is sent to every task as a dense cube only within this size.
+DENSE_BYTES = 64 << 20
+
+
+def dense(stack: DataFrame, times: list[str], values: list[str], limit: int = DENSE_BYTES) -> tuple[pd.DataFrame, int, int, list[np.ndarray]] | None:
+    """``(times, y0, x0, cubes)``: the images in order of ``t``, their first row and column, and a cube of each value.
+
+    The cubes have one row and one column more, of NaN, for what lies outside; NaN also stands where there is no data.
+    None if they'd take more than ``limit`` bytes or if a pixel or an image has several rows.
+    """
+    stack = stack.where("t is not null and y is not null and x is not null")
+    images = stack.select("t", *times).distinct().sort("t").limit(limit // 64).toPandas()
+    box = stack.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")).first()
+    if images.empty or not images["t"].is_unique or images.isna().any(axis=None):
+        return None
+    shape = len(images), box.y1 - box.y0 + 2, box.x1 - box.x0 + 2
+    if 8 * len(values) * math.prod(shape) > limit:
+        return None
+    rows = stack.select("t", "y", "x", *values).limit(math.prod(shape)).toPandas()
+    at = np.searchsorted(images["t"], rows["t"]), rows["y"].to_numpy() - box.y0, rows["x"].to_numpy() - box.x0
+    cubes = [np.full(shape, np.nan) for _ in values]
+    if len(np.unique(np.ravel_multi_index(at, shape))) < len(rows):
+        return None
+    for cube, v in zip(cubes, values, strict=True):
+        cube[at] = rows[v].to_numpy(float)
+    return images, box.y0, box.x0, cubes
+
+
+def within(p: np.ndarray, first: int, size: int) -> np.ndarray:
+    """Positions as indices into a dimension of a cube of ``dense``; outside, the last."""
+    p = p - first
+    return np.where((p >= 0) & (p < size - 1), p, size - 1).astype(np.int64)

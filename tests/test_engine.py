@@ -344,6 +344,30 @@ def test_coadds_of_empty_and_masked(spark):
     assert stamps.as_arrays(stamps.coadds(s), "sum", 1).first().coadd_sum == [[0.0, 0.0, 0.0], [0.0, 15.0, 0.0], [0.0, 0.0, 0.0]]
 
 
+def moving(spark, n=60):
+    """A small stack with masked pixels and odd variances, and trajectories of which some leave it or have no place."""
+    rng = random.Random(2)
+    var = lambda: rng.choice([1.0, 4.0, 0.5, 0.0, float("nan"), float("inf")])
+    rows = [(t, 60000.0 + t / 2, t / 2, y, x, rng.choice([rng.gauss(0, 1), rng.gauss(0, 1), float("nan")]), var()) for t in range(5) for y in range(3, 12) for x in range(-2, 9) if rng.random() < 0.8]
+    pixels = spark.createDataFrame(rows, "t int, mjd double, zt double, y int, x int, sci double, var double")
+    r = [(i, rng.randrange(-4, 14), rng.randrange(-4, 14), rng.choice([-1.5, 0.0, 0.25, 2.0]), rng.choice([-1.0, 0.5])) for i in range(n)] + [(900, None, 3, 0.0, 0.0)]
+    return spark.createDataFrame(r, "id long, x int, y int, vx double, vy double"), pixels
+
+
+def rounded(df):
+    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("by_day", [False, True])
+def test_coadds_from_a_cube(spark, by_day):
+    r, pixels = moving(spark)
+    got, want = stamps.coadds_at(r, pixels, 1, by_day), stamps.coadds(stamps.cutouts(r, pixels, 1), by_day)
+    assert "SortAggregate" not in plan_of(got) and "HashAggregate" not in plan_of(got)
+    assert rounded(got.select(want.columns)) == rounded(want)
+    twice = r.union(r)  # an id with two trajectories: summed up by id
+    assert rounded(stamps.coadds_at(twice, pixels, 1, by_day).select(want.columns)) == rounded(stamps.coadds(stamps.cutouts(twice, pixels, 1), by_day))
+
+
 def test_tracked_filters(spark):
     t = results.tracked(frame(spark, POINTS))
     f = results.filter_rows(results.filter_rows(t, F.col("x") < 20, "x"), F.col("y") > 0, "y")
