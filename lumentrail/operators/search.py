@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrail.functions.sky import position
+from lumentrail.functions.sky import is_valid, position
 from lumentrail.operators.curves import clipped_sums
+from lumentrail.operators.graph import materialised, spread
+from lumentrail.operators.images import dense, within
 
 #: Above so many probes (start pixels x velocities x images) the dense kernel is used.
 RELATIONAL_PROBES = 10_000_000
@@ -123,8 +128,59 @@ def batch(results: DataFrame, start: int, count: int) -> DataFrame:
     return ordered(results).offset(start).limit(count)
 
 
+def _refine_dense(results: DataFrame, velocities: DataFrame, images: DataFrame, radius: int, min_obs: int) -> DataFrame | None:
+    vel = velocities.select("vx", "vy").sort("vx", "vy").toPandas()
+    cube = dense(images, ["zt"], ["psi", "phi"]) if images.where("psi is null or phi is null or isnan(psi) or isnan(phi)").isEmpty() else None
+    kinds = {results.schema[c].dataType.simpleString() for c in ("x", "y")}
+    if cube is None or vel.duplicated().any() or vel.isna().any(axis=None) or not kinds <= {"int", "smallint", "tinyint"} or not results.groupBy("id").count().where("count > 1").isEmpty():
+        return None
+    shared = images.sparkSession.sparkContext.broadcast((cube, vel.to_numpy(float)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (times, y0, x0, (psi, phi)), vel = shared.value
+        zt, (_, height, width) = times["zt"].to_numpy(float), psi.shape
+        plane = np.arange(len(zt)) * (height * width)
+        hit, psi, phi = (np.isfinite(psi) * 1.0).ravel(), np.nan_to_num(psi).ravel(), np.nan_to_num(phi).ravel()
+        d = np.arange(-radius, radius + 1)
+        # lines in order of x, y, vx, vy: the first of equal ones is the one to keep
+        lines = len(d), len(d), len(vel)
+        step = max(1, 300_000 // (math.prod(lines) * len(zt)))
+        for pdf in batches:
+            out = []
+            for i in range(0, len(pdf), step):
+                part = pdf[i : i + step]
+                n = len(part)
+                x, y = (part[c].to_numpy(np.int64)[:, None] + d for c in ("x", "y"))
+                vx, vy = part["vx"].to_numpy(float)[:, None] + vel[:, 0], part["vy"].to_numpy(float)[:, None] + vel[:, 1]
+                px = within(np.floor(x[:, :, None, None] + vx[:, None, :, None] * zt + 0.5), x0, width)
+                py = within(np.floor(y[:, :, None, None] + vy[:, None, :, None] * zt + 0.5), y0, height)
+                at = (plane + py * width)[:, None] + px[:, :, None]
+                count, a, b = (v[at].sum(axis=-1).reshape(n, -1) for v in (hit, psi, phi))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    lh, flux = np.where(b > 0, a / np.sqrt(b), -1.0), np.where(b > 0, a / b, -1.0)
+                ok = (count > 0) & (count >= min_obs)
+                k = np.where(ok, np.round(lh, 9), -np.inf).argmax(axis=1)
+                some = np.flatnonzero(ok.any(axis=1))
+                k = k[some]
+                j, e, v = np.unravel_index(k, lines)
+                out.append(pd.DataFrame({"id": part["id"].to_numpy()[some], "x": x[some, j].astype(np.int32), "y": y[some, e].astype(np.int32), "vx": vx[some, v], "vy": vy[some, v], "obs_count": count[some, k].astype(np.int32), "lh": lh[some, k], "flux": flux[some, k]}))
+            if out:
+                yield pd.concat(out)
+
+    there = results.where(reduce(and_, [is_valid(F.col(c).cast("double")) for c in ("x", "y", "vx", "vy")]))
+    kind = results.schema["id"].dataType.simpleString()
+    return spread(there.select("id", "x", "y", "vx", "vy")).mapInPandas(run, f"id {kind}, x int, y int, vx double, vy double, obs_count int, lh double, flux double")
+
+
 def refine(results: DataFrame, velocities: DataFrame, images: DataFrame, radius: int = 1, min_obs: int = 0) -> DataFrame:
-    """For each ``results(id, x, y, vx, vy)`` the best line nearby: start within ``radius``, velocity offset from a table."""
+    """For each ``results(id, x, y, vx, vy)`` the best line nearby: start within ``radius``, velocity offset from a table.
+
+    If the stack fits a cube and nothing is repeated, each task looks up all lines of its results, few at a time, and
+    nothing is shuffled; otherwise all lines are joined with the pixels.
+    """
+    images = materialised(images.select("t", "zt", "y", "x", "psi", "phi"))
+    if (out := _refine_dense(results, velocities, images, radius, min_obs)) is not None:
+        return out
     d = F.sequence(F.lit(-radius), F.lit(radius))
     near = results.select("id", F.explode(F.transform(d, lambda e: (F.col("x") + e).cast("int"))).alias("x0"), "y", "vx", "vy").select("id", "x0", F.explode(F.transform(d, lambda e: (F.col("y") + e).cast("int"))).alias("y0"), "vx", "vy")
     near = near.crossJoin(F.broadcast(velocities.select(F.col("vx").alias("dvx"), F.col("vy").alias("dvy")))).select("id", "x0", "y0", (F.col("vx") + F.col("dvx")).alias("vx"), (F.col("vy") + F.col("dvy")).alias("vy"))

@@ -368,6 +368,22 @@ def test_coadds_from_a_cube(spark, by_day):
     assert rounded(stamps.coadds_at(twice, pixels, 1, by_day).select(want.columns)) == rounded(stamps.coadds(stamps.cutouts(twice, pixels, 1), by_day))
 
 
+def test_refined_from_a_cube(spark):
+    r, pixels = moving(spark)
+    pp = images.psi_phi(pixels.where("not isnan(sci) and var in (1.0, 4.0, 0.5)"))
+    v = candidates.velocity_grid(spark, 3, -0.5, 0.5, 3, -0.5, 0.5)
+    got = search.refine(r, v, pp, 1, 2)
+    assert "Aggregate" not in plan_of(got)
+    lines = {(s.id, s.x + i, s.y + j, s.vx + w.vx, s.vy + w.vy) for s in r.where("id < 900").collect() for i in (-1, 0, 1) for j in (-1, 0, 1) for w in v.collect()}
+    at, zt, best = {(p.t, p.y, p.x): p for p in pp.collect()}, {p.t: p.zt for p in pp.collect()}, {}
+    for i, x, y, vx, vy in lines:
+        hits = [at[k] for t, z in zt.items() if (k := (t, math.floor(y + vy * z + 0.5), math.floor(x + vx * z + 0.5))) in at]
+        if len(hits) >= 2:
+            lh = sum(p.psi for p in hits) / math.sqrt(sum(p.phi for p in hits))
+            best[i] = min(best.get(i, (9e9,)), (-round(lh, 9), x, y, vx, vy, len(hits)))
+    assert {s.id: (-round(s.lh, 9), s.x, s.y, s.vx, s.vy, s.obs_count) for s in got.collect()} == best
+
+
 def test_tracked_filters(spark):
     t = results.tracked(frame(spark, POINTS))
     f = results.filter_rows(results.filter_rows(t, F.col("x") < 20, "x"), F.col("y") > 0, "y")
