@@ -368,6 +368,12 @@ def test_coadds_from_a_cube(spark, by_day):
     assert rounded(stamps.coadds_at(twice, pixels, 1, by_day).select(want.columns)) == rounded(stamps.coadds(stamps.cutouts(twice, pixels, 1), by_day))
 
 
+def test_peaks_from_a_cube(spark):
+    r, pixels = moving(spark)
+    got, want = stamps.peaks_at(r, pixels, 2), stamps.peak_offset(stamps.coadds(stamps.cutouts(r, pixels, 2)))
+    assert "Aggregate" not in plan_of(got) and rounded(got) == rounded(want)
+
+
 def test_refined_from_a_cube(spark):
     r, pixels = moving(spark)
     pp = images.psi_phi(pixels.where("not isnan(sci) and var in (1.0, 4.0, 0.5)"))
