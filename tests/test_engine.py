@@ -374,6 +374,12 @@ def test_peaks_from_a_cube(spark):
     assert "Aggregate" not in plan_of(got) and rounded(got) == rounded(want)
 
 
+def test_normalised_stamps_from_a_cube(spark):
+    r, pixels = moving(spark)
+    got, want = stamps.normalised_at(r, pixels, 1), stamps.normalised(stamps.coadds(stamps.cutouts(r, pixels, 1)))
+    assert "Aggregate" not in plan_of(got) and rounded(got) == rounded(want.select(got.columns))
+
+
 def test_refined_from_a_cube(spark):
     r, pixels = moving(spark)
     pp = images.psi_phi(pixels.where("not isnan(sci) and var in (1.0, 4.0, 0.5)"))
